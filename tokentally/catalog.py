@@ -28,6 +28,7 @@ from tokentally.operators.sessions import (chat_count, chat_list, cost_by_family
 from tokentally.plans.live import live_rows
 from tokentally.plans.sync import backfill_import, incremental_sync
 from tokentally.sources.driver_tables import TRANSCRIPT_BASE, load_lines, load_usage
+from tokentally.sources.literal import empty_table
 from tokentally.sources.live import decode_events, encode_events
 from tokentally.sources.schemas import CHAT_COLUMNS, CHATS, LEDGER, TOKEN_COLUMNS, TOKENS
 
@@ -40,7 +41,7 @@ SPARK_WIDTH = 30
 
 
 def _empty(spark: SparkSession, schema) -> DataFrame:
-    return spark.createDataFrame([], schema)
+    return empty_table(spark, schema)
 
 
 def fixture_chats(usage: DataFrame) -> DataFrame:

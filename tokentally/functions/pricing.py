@@ -58,9 +58,13 @@ def price_of(family, kind: str) -> Column:
 
 def price_table(spark: SparkSession) -> DataFrame:
     """The price dimension: family and four prices in cents per MTok."""
+    from pyspark.sql import types as T
+
+    from tokentally.sources.literal import literal_table
     rows = [(fam, *p) for fam, p in PRICE_CENTS_PER_MTOK.items()]
-    return spark.createDataFrame(
-        rows, "family string, p_input long, p_cache_write long, p_cache_read long, p_output long")
+    schema = T.StructType([T.StructField("family", T.StringType())] +
+                          [T.StructField(f"p_{k}", T.LongType()) for k in TOKEN_CLASSES])
+    return literal_table(spark, rows, schema)
 
 
 def cost_cents(model, inp, out, cache_read, cache_write) -> Column:

@@ -1,18 +1,21 @@
 """Rolling-period totals and costs (one scan, no fan-out).
 
 The metered tool runs twelve scans for six periods (counts and costs).  Here
-every period is a conditional aggregate of a single pass grouped by model:
-the partial aggregate on each task is one row per model, whatever the data
-size, and the priced, truncated per-(period, model) rows are a few dozen.
+one pass groups rows by (model, band), where the band is the narrowest period
+holding the row; the partial aggregate on each task is at most
+periods x models rows whatever the data size, and periods are cumulated from
+those few rows before pricing and truncation per (period, model).
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tokentally.constants import PERIODS
 from tokentally.functions.pricing import blank, cost_cents, z
+from tokentally.sources.literal import literal_table
 
 
 def _in_period(secs: int | None, as_of: int) -> Column:
@@ -20,35 +23,45 @@ def _in_period(secs: int | None, as_of: int) -> Column:
     return F.lit(True) if secs is None else F.col("ts") >= F.lit(as_of - secs)
 
 
-def _stack_periods(agg: DataFrame, key_cols: list[str], periods) -> DataFrame:
-    """Wide per-period columns -> one row per (period, keys)."""
-    parts = []
-    for i, (label, _) in enumerate(periods):
-        parts.append(F.struct(F.lit(i).alias("period_ord"), F.lit(label).alias("period"),
-                              *[F.col(f"{c}_{i}").alias(c) for c in ("msgs", "input", "output", "cache_read", "cache_write")]))
-    return (agg.select(*key_cols, F.explode(F.array(*parts)).alias("p"))
-               .select(*key_cols, "p.*"))
+def _band(as_of: int, periods) -> Column:
+    """Index of the narrowest period that contains the row.  Periods are
+    nested (each lower bound is older than the previous), so a row belongs
+    to period k exactly when its band is <= k."""
+    order = sorted(range(len(periods)), key=lambda i: (periods[i][1] is None, periods[i][1] or 0))
+    if order != list(range(len(periods))):
+        raise ValueError("periods must be listed from the shortest to the unbounded one")
+    expr = None
+    for i, (_, secs) in enumerate(periods):
+        if secs is None:
+            break
+        cond = F.col("ts") >= F.lit(as_of - secs)
+        expr = F.when(cond, F.lit(i)) if expr is None else expr.when(cond, F.lit(i))
+    last = len(periods) - 1 if periods[-1][1] is None else len(periods)
+    return (expr.otherwise(F.lit(last)) if expr is not None else F.lit(last)).cast("int")
 
 
 def period_model_totals(usage: DataFrame, as_of: int, periods=PERIODS) -> DataFrame:
-    """(period_ord, period, model, msgs, input, output, cache_read, cache_write),
-    one pass over ``usage`` grouped by model with per-period conditions."""
-    aggs = []
-    for i, (_, secs) in enumerate(periods):
-        cond = _in_period(secs, as_of)
-        aggs += [
-            F.count_if(cond).cast("long").alias(f"msgs_{i}"),
-            F.sum(F.when(cond, z("input"))).cast("long").alias(f"input_{i}"),
-            F.sum(F.when(cond, z("output"))).cast("long").alias(f"output_{i}"),
-            F.sum(F.when(cond, z("cache_read"))).cast("long").alias(f"cache_read_{i}"),
-            F.sum(F.when(cond, z("cache_write"))).cast("long").alias(f"cache_write_{i}"),
-        ]
-    bounded = [s for _, s in periods]
-    src = usage.select("ts", "model", "input", "output", "cache_read", "cache_write")
-    if None not in bounded:
-        src = src.filter(F.col("ts") >= F.lit(as_of - max(bounded)))
-    by_model = src.groupBy(F.coalesce(F.col("model"), F.lit("")).alias("model")).agg(*aggs)
-    return _stack_periods(by_model, ["model"], periods).filter(F.col("msgs") > 0)
+    """(period_ord, period, model, msgs, input, output, cache_read, cache_write).
+
+    One pass over ``usage`` grouped by (model, band): five running sums per
+    row, and at most len(periods) x models groups whatever the data size.
+    Period k is then the sum of bands <= k, computed on those few rows.
+    """
+    src = usage.select("ts", F.coalesce(F.col("model"), F.lit("")).alias("model"),
+                       "input", "output", "cache_read", "cache_write")
+    if periods[-1][1] is not None:
+        src = src.filter(F.col("ts") >= F.lit(as_of - max(s for _, s in periods)))
+    banded = src.groupBy("model", _band(as_of, periods).alias("band")).agg(
+        F.count("*").alias("msgs"),
+        *[F.sum(z(c)).alias(c) for c in ("input", "output", "cache_read", "cache_write")])
+    last = len(periods) - 1
+    labels = F.array(*[F.lit(lbl) for lbl, _ in periods])
+    spread = banded.select("model", F.explode(F.sequence(F.col("band"), F.lit(last))).alias("period_ord"),
+                           "msgs", "input", "output", "cache_read", "cache_write")
+    return (spread.filter(F.col("period_ord") <= last)
+                  .groupBy("period_ord", "model")
+                  .agg(*[F.sum(c).cast("long").alias(c) for c in ("msgs", "input", "output", "cache_read", "cache_write")])
+                  .withColumn("period", F.element_at(labels, F.col("period_ord") + 1)))
 
 
 def period_summary(usage: DataFrame, as_of: int, periods=PERIODS) -> DataFrame:
@@ -68,8 +81,9 @@ def period_summary(usage: DataFrame, as_of: int, periods=PERIODS) -> DataFrame:
         F.sum("cents").cast("long").alias("cost_cents"),
     )
     # every period is reported, also when empty
-    spine = usage.sparkSession.createDataFrame(
-        [(i, label) for i, (label, _) in enumerate(periods)], "period_ord int, period string")
+    spine = literal_table(usage.sparkSession, [(i, label) for i, (label, _) in enumerate(periods)],
+                          T.StructType([T.StructField("period_ord", T.IntegerType()),
+                                        T.StructField("period", T.StringType())]))
     out = spine.join(F.broadcast(per), ["period_ord", "period"], "left")
     zero = F.lit(0).cast("long")
     return out.select(

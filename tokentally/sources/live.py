@@ -18,19 +18,30 @@ def decode_events(raw: DataFrame, value_col: str = "value") -> DataFrame:
     ``current_usage`` object is null.  ``ctx_pct`` = (in+cw+cr)*100 div size.
     Other input columns are kept.
     """
-    ev = F.from_json(F.col(value_col), LIVE_EVENT)
-    u = ev["context_window"]["current_usage"]
+    keep = [c for c in raw.columns if c != value_col]
+    # parse each document exactly once: ``inline`` of a one-element array is
+    # a Generate, which neither the per-field JSON schema pruning nor the
+    # filters of later steps are pushed through (either would re-parse)
+    parsed = raw.select(*keep, F.inline(F.array(F.from_json(F.col(value_col), LIVE_EVENT))))
+    return decode_records(parsed, keep)
+
+
+def decode_records(parsed: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """Defaults of the live recorder applied to parsed events (columns
+    ``model`` and ``context_window`` as in ``LIVE_EVENT``), e.g. from
+    ``spark.read.schema(LIVE_EVENT).json(path)`` or a JSON file stream."""
+    keep = [c for c in parsed.columns if c not in ("model", "context_window")] if keep is None else keep
+    u = F.col("context_window.current_usage")
     zero = F.lit(0).cast("long")
 
     def tok(name: str) -> Column:
         return F.when(u.isNull(), zero).otherwise(F.coalesce(u[name], zero))
 
-    size = F.coalesce(ev["context_window"]["context_window_size"], F.lit(DEFAULT_CONTEXT_SIZE).cast("long"))
-    keep = [c for c in raw.columns if c != value_col]
-    out = raw.select(
+    size = F.coalesce(F.col("context_window.context_window_size"), F.lit(DEFAULT_CONTEXT_SIZE).cast("long"))
+    out = parsed.select(
         *keep,
-        F.coalesce(ev["model"]["display_name"], F.lit(LIVE_DISPLAY_DEFAULT)).alias("display_name"),
-        F.coalesce(ev["model"]["id"], F.lit("")).alias("model"),
+        F.coalesce(F.col("model.display_name"), F.lit(LIVE_DISPLAY_DEFAULT)).alias("display_name"),
+        F.coalesce(F.col("model.id"), F.lit("")).alias("model"),
         size.alias("ctx_size"),
         tok("input_tokens").alias("input"),
         tok("output_tokens").alias("output"),

@@ -15,6 +15,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from tokentally.sources.literal import empty_table
+
 
 def _local(path: str) -> str:
     return path[len("file:"):] if path.startswith("file:") else path
@@ -45,7 +47,7 @@ class SnapshotTable:
         """Current version, or an empty table of the schema when none."""
         cur = self.current()
         if cur is None:
-            return self.spark.createDataFrame([], self.schema)
+            return empty_table(self.spark, self.schema)
         return self.spark.read.schema(self.schema).parquet(cur["path"])
 
     def write(self, df: DataFrame, meta: dict | None = None) -> DataFrame:
