@@ -28,6 +28,7 @@ from tokentally.operators.sessions import (chat_count, chat_list, cost_by_family
 from tokentally.plans.live import live_rows
 from tokentally.plans.sync import backfill_import, incremental_sync
 from tokentally.sources.driver_tables import TRANSCRIPT_BASE, load_lines, load_usage
+from tokentally.session import scratch_dir
 from tokentally.sources.literal import empty_table
 from tokentally.sources.live import decode_events, encode_events
 from tokentally.sources.schemas import CHAT_COLUMNS, CHATS, LEDGER, TOKEN_COLUMNS, TOKENS
@@ -230,6 +231,65 @@ def q_import_cost_by_family(spark, d):
     return import_cost_by_family(_backfilled_chats(spark, d))
 
 
+# ---------------------------------------------------------------- streams
+STREAM_SLICES = 4
+
+
+def _land_live_files(spark, d) -> str:
+    """Write the usage rows as enveloped live JSON files, one append per week
+    in time order, so the stream sees them arrive in order."""
+    from tokentally.sources.live import encode_enveloped
+    src = scratch_dir(spark, "live-src")
+    u = load_usage(spark, d)
+    start = AS_OF - STREAM_SLICES * WEEK
+    for i in range(STREAM_SLICES):
+        lo, hi = start + i * WEEK, start + (i + 1) * WEEK
+        cond = F.col("ts") < hi if i == 0 else (F.col("ts") >= lo) & (F.col("ts") < hi)
+        if i == STREAM_SLICES - 1:
+            cond = F.col("ts") >= lo
+        encode_enveloped(u.filter(cond)).write.mode("append").text(src)
+    return src
+
+
+def _run_live(spark, d):
+    from tokentally.streaming.live import LiveSink, live_source, start_live_ingest
+    src = _land_live_files(spark, d)
+    sink = LiveSink(spark, scratch_dir(spark, "live-sink"))
+    q = start_live_ingest(live_source(spark, src, max_files=1), sink, scratch_dir(spark, "live-ckpt"))
+    q.awaitTermination()
+    return sink
+
+
+def q_stream_ingest(spark, d):
+    return _run_live(spark, d).facts()
+
+
+def q_stream_history(spark, d):
+    return _run_live(spark, d).ring.read()
+
+
+def q_stream_session_totals(spark, d):
+    from tokentally.streaming.live import live_source, start_session_totals
+    src = _land_live_files(spark, d)
+    q = start_session_totals(live_source(spark, src, max_files=1), scratch_dir(spark, "totals"),
+                             scratch_dir(spark, "totals-ckpt"))
+    q.awaitTermination()
+    return q.table.read()
+
+
+def q_stream_sync(spark, d):
+    from tokentally.plans.sync import UsageStore
+    from tokentally.streaming.sync import line_table_stream, start_sync
+    lines = load_lines(spark, d)
+    src, ckpt = scratch_dir(spark, "lines-src"), scratch_dir(spark, "lines-ckpt")
+    store = UsageStore.open(spark, scratch_dir(spark, "sync-store"))
+    # two arrivals; a session's lines of one arrival share a file
+    for cond in (F.col("line_ts") <= SYNC_T1, F.col("line_ts") > SYNC_T1):
+        lines.filter(cond).drop("line_ts").repartition("session").write.mode("append").parquet(src)
+        start_sync(line_table_stream(spark, src), store, AS_OF, ckpt).awaitTermination()
+    return store.chats.read()
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "model_family": q_model_family,
     "usage_priced": q_usage_priced,
@@ -261,4 +321,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "chat_count": q_chat_count,
     "import_summary": q_import_summary,
     "import_cost_by_family": q_import_cost_by_family,
+    "stream_ingest": q_stream_ingest,
+    "stream_session_totals": q_stream_session_totals,
+    "stream_history": q_stream_history,
+    "stream_sync": q_stream_sync,
 }

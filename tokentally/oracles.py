@@ -371,6 +371,13 @@ SELECT family, CAST(sum(cents) AS BIGINT) AS cost_cents FROM fm GROUP BY family
 UNION ALL
 SELECT 'total' AS family, CAST(coalesce(sum(cents), 0) AS BIGINT) AS cost_cents FROM fm"""
 
+STREAM_SESSION_TOTALS = W + """
+SELECT strftime(TIMESTAMP '1970-01-01 00:00:00' + to_seconds(ts), '%Y%m%d') AS session,
+       count(*) AS msgs, CAST(sum(input) AS BIGINT) AS input, CAST(sum(output) AS BIGINT) AS output,
+       CAST(sum(cache_read) AS BIGINT) AS cache_read, CAST(sum(cache_write) AS BIGINT) AS cache_write
+FROM usage WHERE input > 0 OR output > 0
+GROUP BY 1"""
+
 ORACLES = {
     "model_family": MODEL_FAMILY,
     "usage_priced": USAGE_PRICED,
@@ -402,4 +409,8 @@ ORACLES = {
     "chat_count": CHAT_COUNT,
     "import_summary": IMPORT_SUMMARY,
     "import_cost_by_family": IMPORT_COST_BY_FAMILY,
+    "stream_ingest": LIVE_APPEND,
+    "stream_session_totals": STREAM_SESSION_TOTALS,
+    "stream_history": HISTORY_LAST50,
+    "stream_sync": INCREMENTAL_SYNC,
 }

@@ -52,12 +52,7 @@ def decode_records(parsed: DataFrame, keep: list[str] | None = None) -> DataFram
         context_pct("input", "cache_write", "cache_read", "ctx_size"), zero))
 
 
-def encode_events(usage: DataFrame) -> DataFrame:
-    """Usage rows -> live JSON text (the inverse used by tests and streams).
-
-    Rows of blank model omit the ``model`` object; rows whose four counts are
-    all zero send ``current_usage`` as null.
-    """
+def _event_doc(usage: DataFrame, envelope: bool):
     fam_name = F.initcap(F.regexp_extract("model", r"(opus|sonnet|haiku|other)", 1))
     model = F.when(F.col("model") != "", F.struct(fam_name.alias("display_name"), F.col("model").alias("id")))
     usage_obj = F.struct(
@@ -69,5 +64,19 @@ def encode_events(usage: DataFrame) -> DataFrame:
     allzero = (F.col("input") == 0) & (F.col("output") == 0) & (F.col("cache_read") == 0) & (F.col("cache_write") == 0)
     cw = F.struct(F.lit(DEFAULT_CONTEXT_SIZE).cast("long").alias("context_window_size"),
                   F.when(~allzero, usage_obj).alias("current_usage"))
-    doc = F.struct(model.alias("model"), cw.alias("context_window"))
-    return usage.select("id", "ts", F.to_json(doc).alias("value"))
+    head = [F.col("id").alias("id"), F.col("ts").alias("ts")] if envelope else []
+    return F.to_json(F.struct(*head, model.alias("model"), cw.alias("context_window")))
+
+
+def encode_events(usage: DataFrame) -> DataFrame:
+    """Usage rows -> live JSON text (the inverse used by tests and streams).
+
+    Rows of blank model omit the ``model`` object; zero cache counts are
+    omitted; rows whose four counts are all zero send ``current_usage`` null.
+    """
+    return usage.select("id", "ts", _event_doc(usage, False).alias("value"))
+
+
+def encode_enveloped(usage: DataFrame) -> DataFrame:
+    """Usage rows -> JSON lines with the collector's ``id`` and ``ts``."""
+    return usage.select(_event_doc(usage, True).alias("value"))

@@ -1,25 +1,30 @@
 """Versioned snapshot tables on a shared file system.
 
 Parquet tables cannot MERGE, and a path being read must never be
-overwritten.  Each write goes to a new version folder; a small pointer file
-names the current one.  Writing a version also cuts the lineage of the
+overwritten.  Each write goes to a new version folder; a small JSON log
+written through Spark names the versions, so the table works on any file
+system Spark can write (HDFS, object stores, local).  A version is logged
+only after its data write committed; a lost task or executor leaves at most
+an unreferenced folder.  Writing a version also cuts the lineage of the
 incremental jobs (no localCheckpoint anywhere).
 """
 
 from __future__ import annotations
 
-import json
-import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.utils import AnalysisException
 
 from tokentally.sources.literal import empty_table
 
-
-def _local(path: str) -> str:
-    return path[len("file:"):] if path.startswith("file:") else path
+LOG_SCHEMA = T.StructType([
+    T.StructField("version", T.LongType()),
+    T.StructField("path", T.StringType()),
+    T.StructField("batch_id", T.LongType()),
+])
 
 
 class SnapshotTable:
@@ -28,20 +33,21 @@ class SnapshotTable:
     def __init__(self, spark: SparkSession, root: str, schema: T.StructType,
                  partition_by: list[str] | None = None):
         self.spark = spark
-        self.root = root
+        self.root = root.rstrip("/")
         self.schema = schema
         self.partition_by = partition_by or []
-        os.makedirs(_local(root), exist_ok=True)
 
     @property
-    def _pointer(self) -> str:
-        return os.path.join(_local(self.root), "CURRENT")
+    def _log(self) -> str:
+        return f"{self.root}/_log"
 
     def current(self) -> dict | None:
-        if not os.path.exists(self._pointer):
+        try:
+            log = self.spark.read.schema(LOG_SCHEMA).json(self._log)
+            top = log.orderBy(F.col("version").desc()).limit(1).collect()
+        except AnalysisException:
             return None
-        with open(self._pointer) as fh:
-            return json.load(fh)
+        return top[0].asDict() if top else None
 
     def read(self) -> DataFrame:
         """Current version, or an empty table of the schema when none."""
@@ -50,18 +56,21 @@ class SnapshotTable:
             return empty_table(self.spark, self.schema)
         return self.spark.read.schema(self.schema).parquet(cur["path"])
 
-    def write(self, df: DataFrame, meta: dict | None = None) -> DataFrame:
-        """Write ``df`` as the next version and switch the pointer to it."""
+    def write(self, df: DataFrame, batch_id: int | None = None) -> DataFrame:
+        """Write ``df`` as the next version, then log it."""
         cur = self.current()
         n = 0 if cur is None else cur["version"] + 1
-        path = os.path.join(self.root, f"v-{n:06d}-{uuid.uuid4().hex[:8]}")
+        path = f"{self.root}/v-{n:06d}-{uuid.uuid4().hex[:8]}"
         w = df.select([f.name for f in self.schema.fields]).write.mode("errorifexists")
         if self.partition_by:
             w = w.partitionBy(*self.partition_by)
         w.parquet(path)
-        info = {"version": n, "path": path, **(meta or {})}
-        tmp = self._pointer + f".{uuid.uuid4().hex[:8]}"
-        with open(tmp, "w") as fh:
-            json.dump(info, fh)
-        os.replace(tmp, self._pointer)
+        entry = self.spark.range(1).select(F.lit(n).cast("long").alias("version"), F.lit(path).alias("path"),
+                                           F.lit(batch_id).cast("long").alias("batch_id"))
+        entry.write.mode("append").json(self._log)
         return self.read()
+
+    def applied(self, batch_id: int) -> bool:
+        """True when a version already holds the effect of ``batch_id``."""
+        cur = self.current()
+        return cur is not None and cur.get("batch_id") is not None and cur["batch_id"] >= batch_id
