@@ -139,3 +139,71 @@ def evolve_schema(old: DataFrame, new: DataFrame) -> DataFrame:
         if c not in u.columns:
             u = u.withColumn(c, F.lit(0).cast("long"))
     return u.fillna(0, subset=list(CACHE_COLUMNS))
+
+
+# ---- order-independent form of the live policy, for streams -----------------
+# Keys (ts, id) of the events that set last_ts, model and ctx_size are kept with
+# the rollup, so batches may be merged in any order: the result equals applying
+# the events one by one in (ts, id) order, which is the arrival order of live
+# events (each is stamped when it arrives).
+KEY = "struct<ts:bigint,id:bigint>"
+LIVE_KEYS = ("k_first", "k_last", "k_model", "k_ctx")
+
+
+def keyed_delta(events: DataFrame) -> DataFrame:
+    """Per-session delta of a batch with the keys of the deciding events."""
+    if "ctx_size" not in events.columns:
+        events = events.withColumn("ctx_size", context_size())
+    k = F.struct(F.col("ts").cast("long").alias("ts"), F.col("id").cast("long").alias("id"))
+    nb, pos = ~blank("model"), F.col("ctx_size") > 0
+    return events.groupBy("session").agg(
+        F.sum(z("input")).cast("long").alias("total_input"),
+        F.sum(z("output")).cast("long").alias("total_output"),
+        F.sum(z("cache_read")).cast("long").alias("cache_read"),
+        F.sum(z("cache_write")).cast("long").alias("cache_write"),
+        F.min(k).alias("k_first"), F.max(k).alias("k_last"),
+        F.max(F.when(nb, k)).alias("k_model"), F.max(F.when(pos, k)).alias("k_ctx"),
+        F.min_by("model", k).alias("first_model"), F.max_by("model", F.when(nb, k)).alias("last_model"),
+        F.min_by("ctx_size", k).alias("first_ctx"), F.max_by("ctx_size", F.when(pos, k)).alias("last_ctx"),
+    ).select(
+        "session", F.lit("").alias("title"),
+        F.coalesce("last_model", "first_model").alias("model"),
+        F.coalesce("last_ctx", "first_ctx").alias("ctx_size"),
+        F.col("k_first.ts").alias("first_ts"), F.col("k_last.ts").alias("last_ts"),
+        "total_input", "total_output", "cache_read", "cache_write", *LIVE_KEYS)
+
+
+def merge_keyed(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Merge two keyed rollups (commutative, associative)."""
+    o = old.select([F.col(c).alias(f"o_{c}") for c in old.columns])
+    n = new.select([F.col(c).alias(f"n_{c}") for c in new.columns])
+    j = o.join(n, o["o_session"] == n["n_session"], "full_outer")
+    hn, ho = F.col("n_session").isNotNull(), F.col("o_session").isNotNull()
+
+    def later(key: str) -> Column:      # new side decides `key`
+        return F.col(f"n_{key}").isNotNull() & (F.col(f"o_{key}").isNull() | (F.col(f"n_{key}") > F.col(f"o_{key}")))
+
+    def by(key: str, c: str) -> Column:
+        return F.when(later(key), F.col(f"n_{c}")).otherwise(F.col(f"o_{c}"))
+
+    first_new = F.col("n_k_first") < F.col("o_k_first")
+    model = F.when(F.col("n_k_model").isNull() & F.col("o_k_model").isNull(),
+                   F.when(first_new, F.col("n_model")).otherwise(F.col("o_model"))).otherwise(by("k_model", "model"))
+    ctx = F.when(F.col("n_k_ctx").isNull() & F.col("o_k_ctx").isNull(),
+                 F.when(first_new, F.col("n_ctx_size")).otherwise(F.col("o_ctx_size"))).otherwise(by("k_ctx", "ctx_size"))
+    cols = {
+        "session": F.coalesce("n_session", "o_session"),
+        "title": F.coalesce("o_title", "n_title"),
+        "model": _pick(hn, ho, model, F.col("n_model"), F.col("o_model")),
+        "ctx_size": _pick(hn, ho, ctx, F.col("n_ctx_size"), F.col("o_ctx_size")),
+        "first_ts": F.least("o_first_ts", "n_first_ts"),
+        "last_ts": _pick(hn, ho, by("k_last", "last_ts"), F.col("n_last_ts"), F.col("o_last_ts")),
+        "k_first": F.least("o_k_first", "n_k_first"),
+        "k_last": F.greatest("o_k_last", "n_k_last"),
+        "k_model": F.greatest("o_k_model", "n_k_model"),
+        "k_ctx": F.greatest("o_k_ctx", "n_k_ctx"),
+    }
+    for c in ("total_input", "total_output", "cache_read", "cache_write"):
+        cols[c] = z(f"o_{c}") + z(f"n_{c}")
+    order = CHAT_COLUMNS + list(LIVE_KEYS)
+    return j.select([cols[c].alias(c) for c in order])

@@ -22,7 +22,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tokentally.constants import HISTORY_KEEP
 from tokentally.operators.history import history_last
-from tokentally.operators.merge import upsert_additive
+from tokentally.operators.merge import keyed_delta, merge_keyed
 from tokentally.plans.live import live_rows
 from tokentally.sources.live import decode_records
 from tokentally.sources.schemas import CHATS, LIVE_EVENT, TOKENS
@@ -31,12 +31,21 @@ from tokentally.sources.store import SnapshotTable
 ENVELOPE = T.StructType([T.StructField("id", T.LongType()), T.StructField("ts", T.LongType())]
                         + list(LIVE_EVENT.fields))
 
+_KEY = T.StructType([T.StructField("ts", T.LongType()), T.StructField("id", T.LongType())])
+LIVE_CHATS = T.StructType(list(CHATS.fields) + [T.StructField(k, _KEY) for k in
+                                                ("k_first", "k_last", "k_model", "k_ctx")])
+
 RING = T.StructType([
     T.StructField("pos", T.LongType()), T.StructField("ts", T.LongType()), T.StructField("id", T.LongType()),
     T.StructField("input", T.LongType()), T.StructField("output", T.LongType()),
 ])
 
 
+def rows_session(session: str | None):
+    from tokentally.plans.live import live_session_key
+    return F.lit(session) if session else live_session_key()
+
+
 def live_source(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
     """Streaming JSON file source of enveloped live events, decoded with the
     recorder's defaults.  A missing arrival stamp is the processing time."""
@@ -58,9 +67,13 @@ class LiveSink:
 
     def __post_init__(self):
         self.facts_path = f"{self.root}/tokens_live"
-        self.chats = SnapshotTable(self.spark, f"{self.root}/chats", CHATS)
+        self.chats = SnapshotTable(self.spark, f"{self.root}/chats", LIVE_CHATS)
         self.ring = SnapshotTable(self.spark, f"{self.root}/history", RING)
 
+    def rollup(self) -> DataFrame:
+        """The live per-session rollup in the chats schema."""
+        return self.chats.read().select(*[f.name for f in CHATS.fields])
+
     def facts(self) -> DataFrame:
         try:
             schema = T.StructType(list(TOKENS.fields) + [T.StructField("batch_id", T.LongType())])
@@ -76,8 +89,11 @@ class LiveSink:
             (rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
                  .partitionBy("batch_id").parquet(self.facts_path))
             if not self.chats.applied(batch_id):
-                ev = rows.withColumn("ctx_size", F.lit(200000).cast("long"))
-                self.chats.write(upsert_additive(self.chats.read(), ev), batch_id)
+                # order-independent additive merge: batches may arrive out of
+                # event-time order (files landed together, replays)
+                delta = keyed_delta(batch.filter((F.col("input") > 0) | (F.col("output") > 0))
+                                    .withColumn("session", rows_session(self.session)))
+                self.chats.write(merge_keyed(self.chats.read(), delta), batch_id)
             if not self.ring.applied(batch_id):
                 old = self.ring.read().select("ts", "id", "input", "output")
                 new = rows.select("ts", "id", "input", "output")

@@ -17,13 +17,14 @@ from tokentally.sources.schemas import LINES
 
 
 def transcript_stream(spark: SparkSession, path: str) -> DataFrame:
-    """New ``*.jsonl`` files under ``path`` as transcript lines."""
+    """New ``*.jsonl`` files under ``path`` as transcript lines (session,
+    blk, value); the within-split sequence is attached per micro-batch, as
+    row ids are not defined on a streaming plan."""
     raw = (spark.readStream.option("recursiveFileLookup", "true")
            .option("pathGlobFilter", "*.jsonl").text(path))
     return raw.select(
         F.regexp_replace(F.col("_metadata.file_name"), r"\.jsonl$", "").alias("session"),
-        F.struct(F.col("_metadata.file_block_start").alias("blk"),
-                 F.monotonically_increasing_id().alias("seq")).alias("pos"),
+        F.col("_metadata.file_block_start").alias("blk"),
         "value",
     ).filter(~F.col("session").startswith(AGENT_FILE_PREFIX))
 
@@ -37,6 +38,9 @@ def line_table_stream(spark: SparkSession, path: str) -> DataFrame:
 def start_sync(lines: DataFrame, store: UsageStore, as_of: int, checkpoint: str,
                available_now: bool = True) -> StreamingQuery:
     def apply(batch: DataFrame, batch_id: int) -> None:
+        if "pos" not in batch.columns:
+            batch = batch.select("session", F.struct("blk", F.monotonically_increasing_id().alias("seq"))
+                                 .alias("pos"), "value")
         store.sync(batch, as_of, batch_id)
 
     w = lines.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
