@@ -36,18 +36,27 @@ class SnapshotTable:
         self.root = root.rstrip("/")
         self.schema = schema
         self.partition_by = partition_by or []
+        self._cur: dict | None = None
+        self._known = False
 
     @property
     def _log(self) -> str:
         return f"{self.root}/_log"
 
-    def current(self) -> dict | None:
+    def current(self, refresh: bool = False) -> dict | None:
+        """Latest logged version.  One writer per table is assumed (the
+        stream's driver or the sync job), so the pointer is cached after the
+        first read and updated by ``write``."""
+        if self._known and not refresh:
+            return self._cur
         try:
             log = self.spark.read.schema(LOG_SCHEMA).json(self._log)
             top = log.orderBy(F.col("version").desc()).limit(1).collect()
+            self._cur = top[0].asDict() if top else None
         except AnalysisException:
-            return None
-        return top[0].asDict() if top else None
+            self._cur = None
+        self._known = True
+        return self._cur
 
     def read(self) -> DataFrame:
         """Current version, or an empty table of the schema when none."""
@@ -68,6 +77,7 @@ class SnapshotTable:
         entry = self.spark.range(1).select(F.lit(n).cast("long").alias("version"), F.lit(path).alias("path"),
                                            F.lit(batch_id).cast("long").alias("batch_id"))
         entry.write.mode("append").json(self._log)
+        self._cur, self._known = {"version": n, "path": path, "batch_id": batch_id}, True
         return self.read()
 
     def applied(self, batch_id: int) -> bool:
