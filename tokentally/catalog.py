@@ -261,7 +261,7 @@ def _run_live(spark, d):
 
 
 def q_stream_ingest(spark, d):
-    return _run_live(spark, d).facts()
+    return _run_live(spark, d).facts().drop("dt")
 
 
 def q_stream_history(spark, d):

@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from tokentally.constants import PERIODS
 from tokentally.functions.pricing import blank, cost_cents, z
+from tokentally.operators.pruning import since
 from tokentally.sources.literal import literal_table
 
 
@@ -47,10 +48,10 @@ def period_model_totals(usage: DataFrame, as_of: int, periods=PERIODS) -> DataFr
     row, and at most len(periods) x models groups whatever the data size.
     Period k is then the sum of bands <= k, computed on those few rows.
     """
+    if periods[-1][1] is not None:
+        usage = since(usage, as_of - max(s for _, s in periods))
     src = usage.select("ts", F.coalesce(F.col("model"), F.lit("")).alias("model"),
                        "input", "output", "cache_read", "cache_write")
-    if periods[-1][1] is not None:
-        src = src.filter(F.col("ts") >= F.lit(as_of - max(s for _, s in periods)))
     banded = src.groupBy("model", _band(as_of, periods).alias("band")).agg(
         F.count("*").alias("msgs"),
         *[F.sum(z(c)).alias(c) for c in ("input", "output", "cache_read", "cache_write")])

@@ -25,6 +25,7 @@ from pyspark.sql.window import Window
 from tokentally.constants import CHART_SLOTS, CHARTS, DOT_LEVELS
 from tokentally.functions.gauges import dot_height
 from tokentally.functions.pricing import idiv, z
+from tokentally.operators.pruning import since
 
 
 def usage_series(usage: DataFrame, as_of: int, charts=CHARTS, n: int = CHART_SLOTS) -> DataFrame:
@@ -34,8 +35,8 @@ def usage_series(usage: DataFrame, as_of: int, charts=CHARTS, n: int = CHART_SLO
     widest = max(w for _, w in charts)
     d = F.lit(as_of).cast("long") - F.col("ts")
     # rows that can reach slot 0..n-1 of some chart: -widest < d < n*widest
-    fine = (usage.select("ts", "input", "output")
-                 .filter((F.col("ts") > F.lit(as_of - n * widest)) & (F.col("ts") < F.lit(as_of + widest)))
+    fine = (since(usage, as_of - n * widest + 1).select("ts", "input", "output")
+                 .filter(F.col("ts") < F.lit(as_of + widest))
                  .groupBy(idiv(d, g).alias("fb"))
                  .agg(F.sum(z("input")).alias("input"), F.sum(z("output")).alias("output")))
     # one row per (fine bucket, chart): the fan-out runs on the small table

@@ -22,6 +22,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tokentally.constants import HISTORY_KEEP
 from tokentally.operators.history import history_last
+from tokentally.operators.pruning import dt_of
 from tokentally.operators.merge import keyed_delta, merge_keyed
 from tokentally.plans.live import live_rows
 from tokentally.sources.live import decode_records
@@ -76,18 +77,22 @@ class LiveSink:
 
     def facts(self) -> DataFrame:
         try:
-            schema = T.StructType(list(TOKENS.fields) + [T.StructField("batch_id", T.LongType())])
-            return self.spark.read.schema(schema).parquet(self.facts_path).select(*[f.name for f in TOKENS.fields])
+            schema = T.StructType(list(TOKENS.fields) + [T.StructField("dt", T.StringType()),
+                                                          T.StructField("batch_id", T.LongType())])
+            return self.spark.read.schema(schema).parquet(self.facts_path).select(
+                *[f.name for f in TOKENS.fields], "dt")
         except Exception:  # noqa: BLE001 - no batch written yet
             from tokentally.sources.literal import empty_table
             return empty_table(self.spark, TOKENS)
 
     def apply(self, batch: DataFrame, batch_id: int) -> None:
-        rows = live_rows(batch, self.session, self.record).withColumn("batch_id", F.lit(batch_id).cast("long"))
+        rows = (live_rows(batch, self.session, self.record)
+                .withColumn("dt", dt_of("ts"))
+                .withColumn("batch_id", F.lit(batch_id).cast("long")))
         rows = rows.persist()
         try:
             (rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-                 .partitionBy("batch_id").parquet(self.facts_path))
+                 .partitionBy("dt", "batch_id").parquet(self.facts_path))
             if not self.chats.applied(batch_id):
                 # order-independent additive merge: batches may arrive out of
                 # event-time order (files landed together, replays)
