@@ -59,6 +59,8 @@ def test_family_and_sessions(spark):
     assert fam["sonnet"]["cost_cents"] == 0      # truncated per model string
     assert fam["sonnet"]["input"] == 200 + 3000 + 3000   # blank model not in a family
     assert fam["haiku"]["cost_cents"] == 80
+    assert fam["total"]["input"] == 100 + 200 + 5000 + 3000 + 3000 + 10**6   # blank model counted
+    assert fam["total"]["cost_cents"] == 80
     top = top_sessions(u, 3).collect()
     assert [r["session"] for r in top] == ["a", "b", "c"]
     b = [r for r in top if r["session"] == "b"][0]

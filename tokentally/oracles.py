@@ -131,7 +131,11 @@ fm AS (SELECT price.family, bm.input, bm.output, {cents('bm.input', 'bm.output',
        FROM bm JOIN price ON price.family = {fam('bm.model')} WHERE coalesce(bm.model, '') <> '')
 SELECT family, CAST(sum(input) AS BIGINT) AS input, CAST(sum(output) AS BIGINT) AS output,
        CAST(sum(cents) AS BIGINT) AS cost_cents
-FROM fm GROUP BY family HAVING sum(input) > 0 OR sum(output) > 0"""
+FROM fm GROUP BY family HAVING sum(input) > 0 OR sum(output) > 0
+UNION ALL
+SELECT 'total', CAST((SELECT coalesce(sum(input), 0) FROM usage) AS BIGINT),
+       CAST((SELECT coalesce(sum(output), 0) FROM usage) AS BIGINT),
+       CAST((SELECT coalesce(sum(cents), 0) FROM fm) AS BIGINT)"""
 
 ROLLUP = """,
 ranked AS (SELECT *, row_number() OVER (PARTITION BY session ORDER BY ts DESC, id DESC) AS rn FROM usage),
