@@ -26,7 +26,7 @@ from tokentally.operators.series import series_scaled, usage_series
 from tokentally.operators.sessions import (chat_count, chat_list, cost_by_family, import_cost_by_family,
                                            import_summary, session_rollup, top_sessions)
 from tokentally.plans.live import live_rows
-from tokentally.plans.sync import backfill_import, incremental_sync
+from tokentally.plans.sync import backfill_chats, backfill_import, incremental_sync
 from tokentally.sources.driver_tables import TRANSCRIPT_BASE, load_lines, load_usage
 from tokentally.session import scratch_dir
 from tokentally.sources.literal import empty_table
@@ -199,12 +199,13 @@ def q_transcript_span(spark, d):
 
 def _backfilled_chats(spark, d):
     lines = load_lines(spark, d).drop("line_ts")
-    _, chats = backfill_import(lines, _empty(spark, TOKENS), _empty(spark, CHATS), AS_OF)
-    return chats
+    return backfill_chats(lines, _empty(spark, CHATS), AS_OF)
 
 
 def q_backfill_import(spark, d):
-    return _backfilled_chats(spark, d)
+    lines = load_lines(spark, d).drop("line_ts")
+    _, chats = backfill_import(lines, _empty(spark, TOKENS), _empty(spark, CHATS), AS_OF)
+    return chats
 
 
 def q_incremental_sync(spark, d):
