@@ -143,6 +143,13 @@ def q_live_append(spark, d):
     return live_rows(_decoded(spark, d))
 
 
+def q_live_status(spark, d):
+    from tokentally.plans.live import live_status
+    u = load_usage(spark, d)
+    cut = AS_OF - DAY
+    return live_status(u.filter(F.col("ts") < cut), u.filter(F.col("ts") >= cut), CONTEXT_BAR_WIDTH)
+
+
 def q_upsert_additive(spark, d):
     u = load_usage(spark, d)
     cut = AS_OF - WEEK
@@ -308,6 +315,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "sparkline_levels": q_sparkline_levels,
     "live_event_decode": q_live_event_decode,
     "live_append": q_live_append,
+    "live_status": q_live_status,
     "upsert_additive": q_upsert_additive,
     "replace_by_session": q_replace_by_session,
     "upsert_import": q_upsert_import,

@@ -220,6 +220,21 @@ SELECT id, ts, strftime(TIMESTAMP '1970-01-01 00:00:00' + to_seconds(ts), '%Y%m%
        input, output, cache_read, cache_write, ctx_pct, model
 FROM usage WHERE input > 0 OR output > 0"""
 
+LIVE_STATUS = W + f""",
+stored AS (SELECT session, sum(input) AS si, sum(output) AS so, sum(cache_read) AS scr, sum(cache_write) AS scw
+           FROM usage WHERE ts < {AS_OF - DAY} GROUP BY session),
+ev AS (SELECT e.*, coalesce(s.si, 0) + e.input AS ti, coalesce(s.so, 0) + e.output AS tout,
+              coalesce(s.scr, 0) + e.cache_read AS tcr, coalesce(s.scw, 0) + e.cache_write AS tcw,
+              CAST(least((e.ctx_pct * 30 + 50) // 100, 30) AS BIGINT) AS f
+       FROM usage e LEFT JOIN stored s ON s.session = e.session
+       WHERE e.ts >= {AS_OF - DAY})
+SELECT id, session, model, CAST(ti AS BIGINT) AS session_input, CAST(tout AS BIGINT) AS session_output,
+       CAST(tcr AS BIGINT) AS session_cache_read, CAST(tcw AS BIGINT) AS session_cache_write,
+       {cents('ti', 'tout', 'tcr', 'tcw')} AS cost_cents, ctx_pct, f AS filled,
+       CAST(least(f, 15) AS BIGINT) AS green, CAST(greatest(least(f, 22) - 15, 0) AS BIGINT) AS yellow,
+       CAST(greatest(f - 22, 0) AS BIGINT) AS red
+FROM ev JOIN price ON price.family = {fam('ev.model')}"""
+
 UPSERT_ADDITIVE = W + """,
 firsts AS (SELECT session, model, ts FROM (
              SELECT session, model, ts, row_number() OVER (PARTITION BY session ORDER BY ts, id) AS rn FROM usage) t
@@ -399,6 +414,7 @@ ORACLES = {
     "sparkline_levels": SPARKLINE_LEVELS,
     "live_event_decode": LIVE_EVENT_DECODE,
     "live_append": LIVE_APPEND,
+    "live_status": LIVE_STATUS,
     "upsert_additive": UPSERT_ADDITIVE,
     "replace_by_session": REPLACE_BY_SESSION,
     "upsert_import": UPSERT_IMPORT,

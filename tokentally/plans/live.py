@@ -23,3 +23,32 @@ def live_rows(decoded: DataFrame, session: str | None = None, record: bool = Tru
     return recorded(decoded).select(
         "id", "ts", sess.alias("session"), "input", "output", "cache_read", "cache_write",
         F.col("ctx_pct").cast("long").alias("ctx_pct"), "model")
+
+
+def live_status(tokens: DataFrame, events: DataFrame, width: int = 30) -> DataFrame:
+    """The status line for incoming events (one row per event).
+
+    For each event: the stored totals of its session (only the sessions of
+    the incoming events are aggregated, a semi-join point filter) plus the
+    event itself, priced as a whole at the event's model; the event's context
+    use and bar.  ``events`` carries id, ts, session, model, ctx_pct and the
+    four counts (as ``live_rows`` gives).
+    """
+    from tokentally.functions.gauges import bar_filled, bar_zones
+    from tokentally.functions.pricing import cost_cents, z
+    from tokentally.operators.joins import semi_join_small
+
+    sums = ("input", "output", "cache_read", "cache_write")
+    stored = (semi_join_small(tokens, events.select("session"), "session")
+              .groupBy("session")
+              .agg(*[F.sum(z(c)).cast("long").alias(f"s_{c}") for c in sums]))
+    j = events.join(stored, "session", "left")
+    tot = {c: z(f"s_{c}") + z(c) for c in sums}
+    filled = bar_filled("ctx_pct", width)
+    g, y, r = bar_zones(filled, width)
+    return j.select(
+        "id", "session", "model",
+        *[tot[c].alias(f"session_{c}") for c in sums],
+        cost_cents("model", tot["input"], tot["output"], tot["cache_read"], tot["cache_write"]).alias("cost_cents"),
+        F.col("ctx_pct").cast("long").alias("ctx_pct"), filled.alias("filled"),
+        g.alias("green"), y.alias("yellow"), r.alias("red"))
