@@ -78,3 +78,15 @@ def test_store_sync_ledger(spark):
     assert store.chats.read().count() == n1
     assert store.tokens.read().count() == n1         # one aggregate fact row per session
     assert store.chats.current()["version"] == v1 + 1
+
+
+def test_store_sync_replayed_batch_is_skipped(spark):
+    from tokentally.sources.driver_tables import load_lines
+    lines = load_lines(spark, "/root/testdata/sf0.001").drop("line_ts")
+    store = UsageStore.open(spark, scratch_dir(spark, "store-replay"))
+    store.sync(lines, AS_OF, batch_id=0)
+    v = store.chats.current()["version"]
+    store.sync(lines, AS_OF, batch_id=0)              # replay of batch 0: no new versions
+    assert store.chats.current()["version"] == v
+    fresh = UsageStore.open(spark, store.tokens.root.rsplit("/", 1)[0])   # a restarted driver
+    assert fresh.ledger.applied(0) and not fresh.ledger.applied(1)

@@ -86,11 +86,12 @@ class LiveSink:
             return empty_table(self.spark, TOKENS)
 
     def apply(self, batch: DataFrame, batch_id: int) -> None:
-        rows = (live_rows(batch, self.session, self.record)
-                .withColumn("dt", dt_of("ts"))
-                .withColumn("batch_id", F.lit(batch_id).cast("long")))
-        rows = rows.persist()
+        # the decoded batch feeds three writes: parse the JSON once
+        batch = batch.persist()
         try:
+            rows = (live_rows(batch, self.session, self.record)
+                    .withColumn("dt", dt_of("ts"))
+                    .withColumn("batch_id", F.lit(batch_id).cast("long")))
             (rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
                  .partitionBy("dt", "batch_id").parquet(self.facts_path))
             if not self.chats.applied(batch_id):
@@ -98,13 +99,14 @@ class LiveSink:
                 # event-time order (files landed together, replays)
                 delta = keyed_delta(batch.filter((F.col("input") > 0) | (F.col("output") > 0))
                                     .withColumn("session", rows_session(self.session)))
-                self.chats.write(merge_keyed(self.chats.read(), delta), batch_id)
+                if self.record:
+                    self.chats.write(merge_keyed(self.chats.read(), delta), batch_id)
             if not self.ring.applied(batch_id):
                 old = self.ring.read().select("ts", "id", "input", "output")
                 new = rows.select("ts", "id", "input", "output")
                 self.ring.write(history_last(old.unionByName(new), HISTORY_KEEP), batch_id)
         finally:
-            rows.unpersist()
+            batch.unpersist()
 
 
 def start_live_ingest(source: DataFrame, sink: LiveSink, checkpoint: str,
