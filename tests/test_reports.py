@@ -67,3 +67,17 @@ def test_family_and_sessions(spark):
     assert b["cost_cents"] == 1                 # blank model priced as sonnet: 5000*300/1e6 = 1.5
     r = {x["session"]: x for x in session_rollup(u).collect()}
     assert r["a"]["model"] == "m-sonnet-1" and r["a"]["cache_read"] == 0
+
+
+def test_all_time_cost_is_since_epoch(spark):
+    u = usage_df(spark, [
+        (1, AS_OF - 10, "a", 10**6, 0, 0, 0, "m-haiku-1"),
+        (2, None, "a", 10**6, 0, 0, 0, "m-haiku-1"),    # no time: counted, not priced
+    ])
+    p = periods_of(period_summary(u, AS_OF))
+    assert (p["all"]["msgs"], p["all"]["input"], p["all"]["cost_cents"]) == (2, 2 * 10**6, 80)
+    assert (p["1h"]["msgs"], p["1h"]["cost_cents"]) == (1, 80)
+    b = periods_of(period_summary_per_period_scans(u, AS_OF))
+    assert (b["all"]["msgs"], b["all"]["cost_cents"]) == (2, 80)
+    fam = {r["family"]: r for r in cost_by_family(u).collect()}
+    assert fam["haiku"]["cost_cents"] == 160 and fam["total"]["cost_cents"] == 80

@@ -27,41 +27,46 @@ def _in_period(secs: int | None, as_of: int) -> Column:
 def _band(as_of: int, periods) -> Column:
     """Index of the narrowest period that contains the row.  Periods are
     nested (each lower bound is older than the previous), so a row belongs
-    to period k exactly when its band is <= k."""
+    to period k exactly when its band is <= k.  The unbounded period prices
+    only rows with ts >= 0 (its cost query is 'since epoch 0') but counts
+    every row; other rows get the extra band len(periods)."""
     order = sorted(range(len(periods)), key=lambda i: (periods[i][1] is None, periods[i][1] or 0))
     if order != list(range(len(periods))):
         raise ValueError("periods must be listed from the shortest to the unbounded one")
     expr = None
     for i, (_, secs) in enumerate(periods):
-        if secs is None:
-            break
-        cond = F.col("ts") >= F.lit(as_of - secs)
+        cond = (F.col("ts") >= F.lit(0)) if secs is None else (F.col("ts") >= F.lit(as_of - secs))
         expr = F.when(cond, F.lit(i)) if expr is None else expr.when(cond, F.lit(i))
-    last = len(periods) - 1 if periods[-1][1] is None else len(periods)
-    return (expr.otherwise(F.lit(last)) if expr is not None else F.lit(last)).cast("int")
+    return expr.otherwise(F.lit(len(periods))).cast("int")
+
+
+SUMS = ("input", "output", "cache_read", "cache_write")
 
 
 def period_model_totals(usage: DataFrame, as_of: int, periods=PERIODS) -> DataFrame:
-    """(period_ord, period, model, msgs, input, output, cache_read, cache_write).
+    """(period_ord, period, model, msgs, input, output, cache_read,
+    cache_write, and c_<class>: the sums of the rows that are priced).
 
     One pass over ``usage`` grouped by (model, band): five running sums per
-    row, and at most len(periods) x models groups whatever the data size.
+    row, and at most (len(periods)+1) x models groups whatever the data size.
     Period k is then the sum of bands <= k, computed on those few rows.
     """
-    if periods[-1][1] is not None:
+    unbounded = periods[-1][1] is None
+    if not unbounded:
         usage = since(usage, as_of - max(s for _, s in periods))
-    src = usage.select("ts", F.coalesce(F.col("model"), F.lit("")).alias("model"),
-                       "input", "output", "cache_read", "cache_write")
+    src = usage.select("ts", F.coalesce(F.col("model"), F.lit("")).alias("model"), *SUMS)
     banded = src.groupBy("model", _band(as_of, periods).alias("band")).agg(
-        F.count("*").alias("msgs"),
-        *[F.sum(z(c)).alias(c) for c in ("input", "output", "cache_read", "cache_write")])
+        F.count("*").alias("msgs"), *[F.sum(z(c)).alias(c) for c in SUMS])
     last = len(periods) - 1
     labels = F.array(*[F.lit(lbl) for lbl, _ in periods])
-    spread = banded.select("model", F.explode(F.sequence(F.col("band"), F.lit(last))).alias("period_ord"),
-                           "msgs", "input", "output", "cache_read", "cache_write")
-    return (spread.filter(F.col("period_ord") <= last)
-                  .groupBy("period_ord", "model")
-                  .agg(*[F.sum(c).cast("long").alias(c) for c in ("msgs", "input", "output", "cache_read", "cache_write")])
+    # the extra band (not priced) belongs to the unbounded period only
+    first = F.least(F.col("band"), F.lit(last))
+    spread = banded.select("model", F.explode(F.sequence(first, F.lit(last))).alias("period_ord"),
+                           (F.col("band") <= last).alias("priced"), "msgs", *SUMS)
+    return (spread.groupBy("period_ord", "model")
+                  .agg(F.sum("msgs").cast("long").alias("msgs"),
+                       *[F.sum(c).cast("long").alias(c) for c in SUMS],
+                       *[F.sum(F.when(F.col("priced"), F.col(c))).cast("long").alias(f"c_{c}") for c in SUMS])
                   .withColumn("period", F.element_at(labels, F.col("period_ord") + 1)))
 
 
@@ -74,7 +79,7 @@ def period_summary(usage: DataFrame, as_of: int, periods=PERIODS) -> DataFrame:
     pm = period_model_totals(usage, as_of, periods)
     priced = pm.withColumn(
         "cents", F.when(blank("model"), F.lit(0).cast("long"))
-                  .otherwise(cost_cents("model", "input", "output", "cache_read", "cache_write")))
+                  .otherwise(cost_cents("model", "c_input", "c_output", "c_cache_read", "c_cache_write")))
     per = priced.groupBy("period_ord", "period").agg(
         F.sum("msgs").cast("long").alias("msgs"),
         F.sum("input").cast("long").alias("input"),
@@ -107,11 +112,12 @@ def period_summary_per_period_scans(usage: DataFrame, as_of: int, periods=PERIOD
     out = None
     for i, (label, secs) in enumerate(periods):
         sub = usage.filter(_in_period(secs, as_of))
+        priced_row = F.col("ts") >= F.lit(0) if secs is None else F.lit(True)
         by_model = sub.groupBy(F.coalesce(F.col("model"), F.lit("")).alias("model")).agg(
             F.count("*").alias("msgs"), F.sum(z("input")).alias("input"), F.sum(z("output")).alias("output"),
-            F.sum(z("cache_read")).alias("cache_read"), F.sum(z("cache_write")).alias("cache_write"))
+            *[F.sum(F.when(priced_row, z(c))).alias(f"c_{c}") for c in SUMS])
         cents = F.when(blank("model"), F.lit(0).cast("long")).otherwise(
-            cost_cents("model", "input", "output", "cache_read", "cache_write"))
+            cost_cents("model", "c_input", "c_output", "c_cache_read", "c_cache_write"))
         one = by_model.agg(
             F.coalesce(F.sum("msgs"), F.lit(0)).cast("long").alias("msgs"),
             F.coalesce(F.sum("input"), F.lit(0)).cast("long").alias("input"),

@@ -57,13 +57,19 @@ def cost_by_family(usage: DataFrame) -> DataFrame:
     """Dashboard block: (family, input, output, cost_cents) for families with
     input or output tokens (each model string truncated on its own; blank
     model strings belong to no family), plus a 'total' row whose tokens count
-    every row and whose cost is the sum over all non-blank model strings."""
+    every row and whose cost is the all-time period cost (rows since epoch 0,
+    per non-blank model string)."""
+    since_epoch = F.col("ts") >= F.lit(0)
     by_model = usage.groupBy(F.coalesce(F.col("model"), F.lit("")).alias("model")).agg(
         F.sum(z("input")).cast("long").alias("input"), F.sum(z("output")).cast("long").alias("output"),
-        F.sum(z("cache_read")).cast("long").alias("cache_read"), F.sum(z("cache_write")).cast("long").alias("cache_write"))
+        F.sum(z("cache_read")).cast("long").alias("cache_read"), F.sum(z("cache_write")).cast("long").alias("cache_write"),
+        *[F.sum(F.when(since_epoch, z(c))).cast("long").alias(f"t_{c}")
+          for c in ("input", "output", "cache_read", "cache_write")])
+    nonblank = lambda c: F.when(blank("model"), F.lit(0).cast("long")).otherwise(c)
     priced = (by_model.withColumn("family", F.when(blank("model"), F.lit(None)).otherwise(model_family("model")))
-                      .withColumn("cents", F.when(blank("model"), F.lit(0).cast("long"))
-                                  .otherwise(cost_cents("model", "input", "output", "cache_read", "cache_write"))))
+                      .withColumn("cents", nonblank(cost_cents("model", "input", "output", "cache_read", "cache_write")))
+                      .withColumn("t_cents", nonblank(cost_cents("model", "t_input", "t_output", "t_cache_read",
+                                                                 "t_cache_write"))))
     fam = (priced.filter(F.col("family").isNotNull()).groupBy("family").agg(
                F.sum("input").cast("long").alias("input"), F.sum("output").cast("long").alias("output"),
                F.sum("cents").cast("long").alias("cost_cents"))
@@ -71,7 +77,7 @@ def cost_by_family(usage: DataFrame) -> DataFrame:
     zero = F.lit(0).cast("long")
     total = priced.agg(F.coalesce(F.sum("input"), zero).cast("long").alias("input"),
                        F.coalesce(F.sum("output"), zero).cast("long").alias("output"),
-                       F.coalesce(F.sum("cents"), zero).cast("long").alias("cost_cents")) \
+                       F.coalesce(F.sum("t_cents"), zero).cast("long").alias("cost_cents")) \
                   .select(F.lit("total").alias("family"), "input", "output", "cost_cents")
     return fam.unionByName(total)
 

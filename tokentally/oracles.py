@@ -82,18 +82,23 @@ periods(period, secs) AS (
 
 PERIOD_SUMMARY = W + "," + PERIODS + f""",
 pm AS (
-  SELECT p.period, u.model, count(*) AS msgs, sum(u.input) AS input, sum(u.output) AS output,
-         sum(coalesce(u.cache_read, 0)) AS cr, sum(coalesce(u.cache_write, 0)) AS cw
+  SELECT p.period, u.model, count(*) AS msgs, sum(u.input) AS input, sum(u.output) AS output
   FROM periods p JOIN usage u ON p.secs IS NULL OR u.ts >= {AS_OF} - p.secs
   GROUP BY p.period, u.model),
+cm AS (
+  SELECT p.period, u.model, sum(u.input) AS input, sum(u.output) AS output,
+         sum(coalesce(u.cache_read, 0)) AS cr, sum(coalesce(u.cache_write, 0)) AS cw
+  FROM periods p JOIN usage u ON u.ts >= coalesce({AS_OF} - p.secs, 0)
+  GROUP BY p.period, u.model),
 pc AS (
-  SELECT pm.*, CASE WHEN coalesce(pm.model, '') = '' THEN 0 ELSE {cents('input', 'output', 'cr', 'cw')} END AS cents
-  FROM pm JOIN price ON price.family = {fam('pm.model')})
-SELECT p.period, CAST(coalesce(sum(msgs), 0) AS BIGINT) AS msgs,
-       CAST(coalesce(sum(input), 0) AS BIGINT) AS input, CAST(coalesce(sum(output), 0) AS BIGINT) AS output,
-       CAST(coalesce(sum(cents), 0) AS BIGINT) AS cost_cents
-FROM periods p LEFT JOIN pc ON pc.period = p.period
-GROUP BY p.period"""
+  SELECT cm.period, CASE WHEN coalesce(cm.model, '') = '' THEN 0 ELSE {cents('input', 'output', 'cr', 'cw')} END AS cents
+  FROM cm JOIN price ON price.family = {fam('cm.model')}),
+pt AS (SELECT period, sum(msgs) AS msgs, sum(input) AS input, sum(output) AS output FROM pm GROUP BY period),
+ct AS (SELECT period, sum(cents) AS cents FROM pc GROUP BY period)
+SELECT p.period, CAST(coalesce(pt.msgs, 0) AS BIGINT) AS msgs,
+       CAST(coalesce(pt.input, 0) AS BIGINT) AS input, CAST(coalesce(pt.output, 0) AS BIGINT) AS output,
+       CAST(coalesce(ct.cents, 0) AS BIGINT) AS cost_cents
+FROM periods p LEFT JOIN pt ON pt.period = p.period LEFT JOIN ct ON ct.period = p.period"""
 
 PERIOD_COST = f"SELECT period, cost_cents FROM ({PERIOD_SUMMARY}) t"
 
@@ -128,14 +133,19 @@ bm AS (SELECT model, sum(input) AS input, sum(output) AS output,
               sum(coalesce(cache_read, 0)) AS cr, sum(coalesce(cache_write, 0)) AS cw
        FROM usage GROUP BY model),
 fm AS (SELECT price.family, bm.input, bm.output, {cents('bm.input', 'bm.output', 'bm.cr', 'bm.cw')} AS cents
-       FROM bm JOIN price ON price.family = {fam('bm.model')} WHERE coalesce(bm.model, '') <> '')
+       FROM bm JOIN price ON price.family = {fam('bm.model')} WHERE coalesce(bm.model, '') <> ''),
+be AS (SELECT model, sum(input) AS input, sum(output) AS output,
+              sum(coalesce(cache_read, 0)) AS cr, sum(coalesce(cache_write, 0)) AS cw
+       FROM usage WHERE ts >= 0 GROUP BY model),
+fm_epoch AS (SELECT {cents('be.input', 'be.output', 'be.cr', 'be.cw')} AS cents
+             FROM be JOIN price ON price.family = {fam('be.model')} WHERE coalesce(be.model, '') <> '')
 SELECT family, CAST(sum(input) AS BIGINT) AS input, CAST(sum(output) AS BIGINT) AS output,
        CAST(sum(cents) AS BIGINT) AS cost_cents
 FROM fm GROUP BY family HAVING sum(input) > 0 OR sum(output) > 0
 UNION ALL
 SELECT 'total', CAST((SELECT coalesce(sum(input), 0) FROM usage) AS BIGINT),
        CAST((SELECT coalesce(sum(output), 0) FROM usage) AS BIGINT),
-       CAST((SELECT coalesce(sum(cents), 0) FROM fm) AS BIGINT)"""
+       CAST((SELECT coalesce(sum(cents), 0) FROM fm_epoch) AS BIGINT)"""
 
 ROLLUP = """,
 ranked AS (SELECT *, row_number() OVER (PARTITION BY session ORDER BY ts DESC, id DESC) AS rn FROM usage),
