@@ -22,7 +22,7 @@ from tokentally.sources.literal import empty_table
 
 LOG_SCHEMA = T.StructType([
     T.StructField("version", T.LongType()),
-    T.StructField("path", T.StringType()),
+    T.StructField("paths", T.ArrayType(T.StringType())),
     T.StructField("batch_id", T.LongType()),
 ])
 
@@ -63,10 +63,23 @@ class SnapshotTable:
         cur = self.current()
         if cur is None:
             return empty_table(self.spark, self.schema)
-        return self.spark.read.schema(self.schema).parquet(cur["path"])
+        return self.spark.read.schema(self.schema).parquet(*cur["paths"])
 
     def write(self, df: DataFrame, batch_id: int | None = None) -> DataFrame:
-        """Write ``df`` as the next version, then log it."""
+        """Write ``df`` as the next version (replacing the table), log it."""
+        return self._commit(df, batch_id, keep=[])
+
+    def append(self, df: DataFrame, batch_id: int | None = None, compact_at: int = 64) -> DataFrame:
+        """Next version = current files + ``df``'s new files (nothing is
+        rewritten); once ``compact_at`` file sets accumulate they are
+        rewritten as one."""
+        cur = self.current()
+        keep = [] if cur is None else list(cur["paths"])
+        if len(keep) + 1 > compact_at:
+            return self._commit(self.read().unionByName(df.select(self.read().columns)), batch_id, keep=[])
+        return self._commit(df, batch_id, keep=keep)
+
+    def _commit(self, df: DataFrame, batch_id: int | None, keep: list[str]) -> DataFrame:
         cur = self.current()
         n = 0 if cur is None else cur["version"] + 1
         path = f"{self.root}/v-{n:06d}-{uuid.uuid4().hex[:8]}"
@@ -74,10 +87,13 @@ class SnapshotTable:
         if self.partition_by:
             w = w.partitionBy(*self.partition_by)
         w.parquet(path)
-        entry = self.spark.range(1).select(F.lit(n).cast("long").alias("version"), F.lit(path).alias("path"),
-                                           F.lit(batch_id).cast("long").alias("batch_id"))
+        paths = keep + [path]
+        entry = self.spark.range(1).select(
+            F.lit(n).cast("long").alias("version"),
+            F.array(*[F.lit(p) for p in paths]).alias("paths"),
+            F.lit(batch_id).cast("long").alias("batch_id"))
         entry.write.mode("append").json(self._log)
-        self._cur, self._known = {"version": n, "path": path, "batch_id": batch_id}, True
+        self._cur, self._known = {"version": n, "paths": paths, "batch_id": batch_id}, True
         return self.read()
 
     def applied(self, batch_id: int) -> bool:
