@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from tokentally.constants import FIXTURE_AS_OF as AS_OF
 from tokentally.functions import (bar_filled, bar_zones, cost_cents, cost_cents_ex_cache, humanize,
-                                  idiv, model_family, price_of)
+                                  idiv, model_family)
+from tokentally.functions.pricing import join_prices
 from tokentally.operators.extract import transcript_sessions, with_tokens
 from tokentally.operators.history import history_last, sparkline_levels
 from tokentally.operators.merge import (evolve_schema, replace_sessions, rollup_for_chats,
@@ -61,10 +62,9 @@ def q_model_family(spark, d):
 
 
 def q_usage_priced(spark, d):
-    u = load_usage(spark, d).withColumn("family", model_family("model"))
+    u = join_prices(load_usage(spark, d))
     return u.select(
-        "id", "session", "model", "family",
-        *[price_of("family", k).alias(f"p_{k}") for k in ("input", "cache_write", "cache_read", "output")],
+        "id", "session", "model", "family", "p_input", "p_cache_write", "p_cache_read", "p_output",
         cost_cents("model", "input", "output", "cache_read", "cache_write").alias("cost_cents"),
         cost_cents_ex_cache("model", "input", "output").alias("cost_cents_ex_cache"))
 

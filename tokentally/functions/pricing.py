@@ -90,3 +90,11 @@ def cost_cents_ex_cache(model, inp, out) -> Column:
 
 def cents_to_usd(c) -> Column:
     return (col_(c).cast("double") / F.lit(100.0).cast("double"))
+
+
+def join_prices(df: DataFrame, model_col: str = "model") -> DataFrame:
+    """Adds ``family`` and p_input, p_cache_write, p_cache_read, p_output by
+    joining the price dimension.  The dimension has one row per family (three
+    rows, fixed), so broadcasting it is bounded by construction."""
+    prices = price_table(df.sparkSession)
+    return df.withColumn("family", model_family(F.col(model_col))).join(F.broadcast(prices), "family", "left")
