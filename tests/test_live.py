@@ -49,6 +49,8 @@ def test_history_keyed(spark):
     assert counts == {"hot": 50, "cold": 50}
     newest = h.filter((F.col("session") == "hot") & (F.col("pos") == 49)).first()
     assert newest["id"] == 398
+    lv = sparkline_levels(h, 30, key="session")
+    assert lv.count() == 60 and lv.filter(F.col("in_level") != 7).count() == 0
 
 
 def test_running_totals_match_plain_window(spark):

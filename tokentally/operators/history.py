@@ -32,23 +32,32 @@ def history_last(usage: DataFrame, keep: int = HISTORY_KEEP, key: str | None = N
     return ranked.select(key, (n - F.col("rk")).cast("long").alias("pos"), "ts", "id", "input", "output")
 
 
-def sparkline_levels(history: DataFrame, width: int = 30, levels: int = BAR_LEVELS) -> DataFrame:
+def sparkline_levels(history: DataFrame, width: int = 30, levels: int = BAR_LEVELS,
+                     key: str | None = None) -> DataFrame:
     """Bar levels of the last ``width`` history entries, right-aligned: slot
     ``width-1`` is the newest, slots before the oldest entry are level 0.
     Input and output are scaled separately by the max over the whole retained
-    history (at least 1).  ``width`` is clamped to 16..40."""
+    history (at least 1).  ``width`` is clamped to 16..40.  With ``key`` (a
+    keyed history) each key gets its own bars; every window partition holds
+    at most ``keep`` rows of one key."""
     w = max(SPARK_WIDTH_MIN, min(SPARK_WIDTH_MAX, width))
     spark = history.sparkSession
-    # the history holds at most ``keep`` rows, so one window over it is small
-    everything = Window.partitionBy()
-    n = F.count("*").over(everything)
-    max_in = F.greatest(F.lit(1).cast("long"), F.max("input").over(everything))
-    max_out = F.greatest(F.lit(1).cast("long"), F.max("output").over(everything))
-    placed = history.select((F.col("pos") - n + F.lit(w)).alias("slot"),
+    keys = [key] if key else []
+    part = Window.partitionBy(*keys)
+    n = F.count("*").over(part)
+    max_in = F.greatest(F.lit(1).cast("long"), F.max("input").over(part))
+    max_out = F.greatest(F.lit(1).cast("long"), F.max("output").over(part))
+    placed = history.select(*keys, (F.col("pos") - n + F.lit(w)).alias("slot"),
                             bar_level("input", max_in, levels).alias("in_level"),
-                            bar_level("output", max_out, levels).alias("out_level"))
-    spine = spark.range(w).select(F.col("id").alias("slot"))
+                            bar_level("output", max_out, levels).alias("out_level")).filter(F.col("slot") >= 0)
     zero = F.lit(0).cast("long")
-    return (spine.join(F.broadcast(placed.filter(F.col("slot") >= 0)), "slot", "left")
-                 .select("slot", F.coalesce("in_level", zero).alias("in_level"),
-                         F.coalesce("out_level", zero).alias("out_level")))
+    if not key:
+        spine = spark.range(w).select(F.col("id").alias("slot"))
+        joined = spine.join(F.broadcast(placed), "slot", "left")
+    else:
+        # one spine row per (key, slot): explode a w-slot sequence per key
+        spine = (history.select(key).distinct()
+                 .select(key, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(w - 1).cast("long"))).alias("slot")))
+        joined = spine.join(placed, [key, "slot"], "left")
+    return joined.select(*keys, "slot", F.coalesce("in_level", zero).alias("in_level"),
+                         F.coalesce("out_level", zero).alias("out_level"))
