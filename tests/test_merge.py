@@ -90,3 +90,19 @@ def test_store_sync_replayed_batch_is_skipped(spark):
     assert store.chats.current()["version"] == v
     fresh = UsageStore.open(spark, store.tokens.root.rsplit("/", 1)[0])   # a restarted driver
     assert fresh.ledger.applied(0) and not fresh.ledger.applied(1)
+
+
+def test_pending_sessions_both_paths(spark):
+    import tokentally.plans.sync as S
+    from tokentally.sources.driver_tables import load_lines
+    lines = load_lines(spark, "/root/testdata/sf0.001").drop("line_ts")
+    ledger = lines.select("session").distinct().orderBy("session").limit(5)
+    small = sorted(r["session"] for r in S.pending_sessions(lines, ledger, AS_OF).collect())
+    orig = S.size_bounded
+    S.size_bounded = lambda df, max_rows=0: False          # force the large-ledger path
+    try:
+        large = sorted(r["session"] for r in S.pending_sessions(lines, ledger, AS_OF).collect())
+    finally:
+        S.size_bounded = orig
+    assert small == large and len(small) > 0
+    assert not set(small) & {r["session"] for r in ledger.collect()}
