@@ -47,12 +47,19 @@ def _empty(spark: SparkSession, schema) -> DataFrame:
 
 
 def fixture_chats(usage: DataFrame) -> DataFrame:
-    """A chats snapshot derived from fact rows, with a title: 'last <model>'
-    of the latest row, '' when that row's model is blank."""
+    """A chats snapshot derived from fact rows in one aggregation, with a
+    title: 'last <model>' of the latest row, '' when that row's model is blank."""
     order = F.struct("ts", "id")
     title = F.when(F.col("model") != "", F.concat(F.lit("last "), F.col("model"))).otherwise(F.lit(""))
-    t = usage.groupBy("session").agg(F.max_by(title, order).alias("title"))
-    return rollup_for_chats(usage).drop("title").join(t, "session").select(*CHAT_COLUMNS)
+    return usage.groupBy("session").agg(
+        F.max_by(title, order).alias("title"),
+        F.max_by("model", order).alias("model"),
+        F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"),
+        *[F.sum(F.coalesce(F.col(c), F.lit(0))).cast("long").alias(a) for c, a in
+          (("input", "total_input"), ("output", "total_output"), ("cache_read", "cache_read"),
+           ("cache_write", "cache_write"))],
+    ).select("session", "title", "model", F.lit(200000).cast("long").alias("ctx_size"), "first_ts", "last_ts",
+             "total_input", "total_output", "cache_read", "cache_write")
 
 
 # ---------------------------------------------------------------- scalars

@@ -70,27 +70,34 @@ def cost_by_family(usage: DataFrame) -> DataFrame:
                       .withColumn("cents", nonblank(cost_cents("model", "input", "output", "cache_read", "cache_write")))
                       .withColumn("t_cents", nonblank(cost_cents("model", "t_input", "t_output", "t_cache_read",
                                                                  "t_cache_write"))))
-    fam = (priced.filter(F.col("family").isNotNull()).groupBy("family").agg(
-               F.sum("input").cast("long").alias("input"), F.sum("output").cast("long").alias("output"),
-               F.sum("cents").cast("long").alias("cost_cents"))
-           .filter((F.col("input") > 0) | (F.col("output") > 0)))
+    # family rows and the total row in one aggregation (grouping sets)
+    both = priced.rollup("family").agg(
+        F.grouping_id().alias("g"),
+        F.sum(F.when(F.col("family").isNotNull(), F.col("input"))).cast("long").alias("f_input"),
+        F.sum(F.when(F.col("family").isNotNull(), F.col("output"))).cast("long").alias("f_output"),
+        F.sum("input").cast("long").alias("a_input"), F.sum("output").cast("long").alias("a_output"),
+        F.sum("cents").cast("long").alias("cents"), F.sum("t_cents").cast("long").alias("t_cents"))
     zero = F.lit(0).cast("long")
-    total = priced.agg(F.coalesce(F.sum("input"), zero).cast("long").alias("input"),
-                       F.coalesce(F.sum("output"), zero).cast("long").alias("output"),
-                       F.coalesce(F.sum("t_cents"), zero).cast("long").alias("cost_cents")) \
-                  .select(F.lit("total").alias("family"), "input", "output", "cost_cents")
-    return fam.unionByName(total)
+    is_total = F.col("g") == 1
+    out = both.select(
+        F.when(is_total, F.lit("total")).otherwise(F.col("family")).alias("family"),
+        F.coalesce(F.when(is_total, F.col("a_input")).otherwise(F.col("f_input")), zero).alias("input"),
+        F.coalesce(F.when(is_total, F.col("a_output")).otherwise(F.col("f_output")), zero).alias("output"),
+        F.coalesce(F.when(is_total, F.col("t_cents")).otherwise(F.col("cents")), zero).alias("cost_cents"))
+    return out.filter((F.col("family") == "total")
+                      | (F.col("family").isNotNull() & ((F.col("input") > 0) | (F.col("output") > 0))))
 
 
 def import_cost_by_family(chats: DataFrame) -> DataFrame:
     """Import report: (family, cost_cents) for families with a positive cost,
-    and a 'total' row (always present) over non-blank model strings."""
+    and a 'total' row (always present) over non-blank model strings; both
+    from one aggregation (grouping sets)."""
     g = _model_group_costs(chats, "total_input", "total_output", "cache_read", "cache_write")
-    fam = (g.groupBy("family").agg(F.sum("cents").cast("long").alias("cost_cents"))
-            .filter(F.col("cost_cents") > 0))
-    total = g.agg(F.coalesce(F.sum("cents"), F.lit(0)).cast("long").alias("cost_cents")) \
-             .select(F.lit("total").alias("family"), "cost_cents")
-    return fam.unionByName(total)
+    both = g.rollup("family").agg(F.grouping_id().alias("g"), F.sum("cents").cast("long").alias("cost_cents"))
+    is_total = F.col("g") == 1
+    out = both.select(F.when(is_total, F.lit("total")).otherwise(F.col("family")).alias("family"),
+                      F.coalesce("cost_cents", F.lit(0).cast("long")).alias("cost_cents"), "g")
+    return out.filter(is_total | (F.col("cost_cents") > 0)).drop("g")
 
 
 def import_summary(chats: DataFrame) -> DataFrame:
