@@ -82,3 +82,19 @@ def test_transcript_stream_reads_only_new_files(spark, tmp_dir):
     second = {r["session"]: r["total_input"] for r in store.chats.read().collect()}
     assert second == {"s1": 15, "s2": 7}
     assert store.ledger.read().count() == 2
+
+
+def test_combined_views(spark):
+    from tokentally.plans.views import all_chats, all_usage
+    from tokentally.sources.driver_tables import load_lines
+    store = UsageStore.open(spark, scratch_dir(spark, "t-views-store"))
+    store.sync(load_lines(spark, "/root/testdata/sf0.001").drop("line_ts"), AS_OF)
+    sink = LiveSink(spark, scratch_dir(spark, "t-views-sink"))
+    u = sample(spark)
+    sink.apply(decode_events(encode_events(u)), 0)
+    n_live = sink.facts().count()
+    assert all_usage(store, sink).count() == store.tokens.read().count() + n_live
+    chats = all_chats(store, sink)
+    assert chats.count() == store.chats.read().count() + sink.rollup().count()
+    assert chats.filter(F.col("session") == "20240130").first()["total_input"] == \
+        sink.rollup().filter(F.col("session") == "20240130").first()["total_input"]
