@@ -36,13 +36,13 @@ def live_status(tokens: DataFrame, events: DataFrame, width: int = 30) -> DataFr
     """
     from tokentally.functions.gauges import bar_filled, bar_zones
     from tokentally.functions.pricing import cost_cents, z
-    from tokentally.operators.joins import semi_join_small
+    from tokentally.operators.joins import join_small, semi_join_small
 
     sums = ("input", "output", "cache_read", "cache_write")
     stored = (semi_join_small(tokens, events.select("session"), "session")
               .groupBy("session")
               .agg(*[F.sum(z(c)).cast("long").alias(f"s_{c}") for c in sums]))
-    j = events.join(stored, "session", "left")
+    j = join_small(events, stored, "session", "left")
     tot = {c: z(f"s_{c}") + z(c) for c in sums}
     filled = bar_filled("ctx_pct", width)
     g, y, r = bar_zones(filled, width)
