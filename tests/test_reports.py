@@ -81,3 +81,40 @@ def test_all_time_cost_is_since_epoch(spark):
     assert (b["all"]["msgs"], b["all"]["cost_cents"]) == (2, 80)
     fam = {r["family"]: r for r in cost_by_family(u).collect()}
     assert fam["haiku"]["cost_cents"] == 160 and fam["total"]["cost_cents"] == 80
+
+
+def test_series_composition_dense(spark):
+    """Fine-bucket rollup == direct per-chart bucketing, over every edge."""
+    from pyspark.sql import functions as F
+    from tokentally.constants import CHARTS
+    ds = set(range(-86400 - 5, 30 * 86400 + 6, 97))
+    for _, w in CHARTS:
+        for k in (-1, 0, 1, 29, 30, 31):
+            for e in (-1, 0, 1):
+                ds.add(k * w + e)
+    rows = [(i, AS_OF - d, "s", 1 + (i % 5), i % 3, 0, 0, "m") for i, d in enumerate(sorted(ds))]
+    u = usage_df(spark, rows)
+    got = {(r["range"], r["slot"]): (r["input"], r["output"]) for r in usage_series(u, AS_OF).collect()}
+    want = {}
+    for label, w in CHARTS:
+        b = (u.filter(F.col("ts") >= AS_OF - 30 * w)
+              .select(((F.lit(AS_OF) - F.col("ts")).cast("long")).alias("d"), "input", "output")
+              .select(F.expr(f"29 - (d div {w})").alias("slot"), "input", "output")
+              .groupBy("slot").agg(F.sum("input").alias("i"), F.sum("output").alias("o")))
+        for r in b.collect():
+            if 0 <= r["slot"] <= 29:
+                want[(label, r["slot"])] = (r["i"], r["o"])
+    for key, val in got.items():
+        assert val == want.get(key, (0, 0)), key
+
+
+def test_chat_list_blank_model_priced_as_default(spark):
+    from tokentally.operators.sessions import chat_list
+    from tokentally.sources.schemas import CHATS
+    c = spark.createDataFrame([("abcdefghij", "", "", 200000, 1, 5, 10**6, 0, 0, 0),
+                               ("k", "t" * 31, "m-opus", 200000, 1, 9, 10**6, 0, 10, 20)], CHATS)
+    rows = {r["session"]: r for r in chat_list(c, 100).collect()}
+    assert rows["abcdefghij"]["cost_cents"] == 300 and rows["abcdefghij"]["family"] == "sonnet"
+    assert rows["abcdefghij"]["title"] == "(untitled)"
+    assert rows["k"]["title"] == "t" * 27 + "..." and rows["k"]["cache_total"] == 30
+    assert [r["session"] for r in chat_list(c, 1).collect()] == ["k"]
