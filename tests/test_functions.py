@@ -68,3 +68,10 @@ def test_iso_parse(spark):
     assert one(spark, iso_to_epoch(F.lit("2024-01-31T00:00:00Z"), 5)) == AS_OF
     assert one(spark, iso_to_epoch(F.lit("not a time"), 5)) == 5
     assert one(spark, iso_to_epoch(F.lit(None).cast("string"), 5)) == 5
+
+
+def test_scale_conf_sizes_partitions():
+    from tokentally.session import scale_conf
+    c = scale_conf(100 * 2**40, 8000)
+    assert int(c["spark.sql.shuffle.partitions"]) == 131072     # 25 TB / 200 MB
+    assert scale_conf(10**6, 8)["spark.sql.shuffle.partitions"] == "24"
