@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tokentally.constants import CHAT_LIST_LIMIT, TOP_SESSIONS
-from tokentally.functions.formatting import duration_text, title_display
+from tokentally.functions.formatting import duration_text, session_prefix, title_display
 from tokentally.functions.pricing import blank, cost_cents, model_family, z
 
 
@@ -35,7 +35,7 @@ def top_sessions(usage: DataFrame, k: int = TOP_SESSIONS) -> DataFrame:
     top = r.orderBy(F.col("last_ts").desc(), F.col("session")).limit(k)
     dur = (F.col("last_ts") - F.col("first_ts")).cast("long")
     return (top.filter(~blank("session"))
-               .select("session", "msgs",
+               .select("session", session_prefix("session", 6).alias("session_short"), "msgs",
                        F.col("total_input").alias("input"), F.col("total_output").alias("output"),
                        cost_cents("model", "total_input", "total_output", "cache_read", "cache_write").alias("cost_cents"),
                        dur.alias("duration_s"), duration_text(dur).alias("duration"),
@@ -121,7 +121,7 @@ def chat_list(chats: DataFrame, n: int = CHAT_LIST_LIMIT) -> DataFrame:
     cache total and cost.  Blank sessions are dropped after the limit."""
     top = chats.orderBy(F.col("last_ts").desc(), F.col("session")).limit(n)
     return (top.filter(~blank("session"))
-               .select("session",
+               .select("session", session_prefix("session", 8).alias("session_short"),
                        model_family("model").alias("family"),
                        title_display("title").alias("title"),
                        z("total_input").alias("input"), z("total_output").alias("output"),

@@ -163,7 +163,8 @@ FROM sess s JOIN latest l USING (session)"""
 
 TOP_SESSIONS = W + ROLLUP + f""",
 top AS (
-  SELECT s.session, CAST(msgs AS BIGINT) AS msgs, CAST(total_input AS BIGINT) AS input,
+  SELECT s.session, substring(s.session, 1, 6) AS session_short, CAST(msgs AS BIGINT) AS msgs,
+         CAST(total_input AS BIGINT) AS input,
          CAST(total_output AS BIGINT) AS output,
          {cents('total_input', 'total_output', 'cache_read', 'cache_write')} AS cost_cents,
          CAST(last_ts - first_ts AS BIGINT) AS duration_s, {dur('(last_ts - first_ts)')} AS duration,
@@ -372,7 +373,7 @@ price(family, pi, pcw, pcr, po) AS (
 
 CHAT_LIST = CHATS + PRICE_ONLY + f"""
 SELECT * FROM (
-  SELECT c.session, price.family,
+  SELECT c.session, substring(c.session, 1, 8) AS session_short, price.family,
          CASE WHEN length(title) > 30 THEN substring(title, 1, 27) || '...' WHEN title = '' THEN '(untitled)'
               ELSE title END AS title,
          total_input AS input, total_output AS output, cache_read + cache_write AS cache_total,
