@@ -6,7 +6,7 @@ applied through ``foreachBatch`` with the batch functions of the library, and
 each effect is idempotent per ``batch_id`` so a replayed batch (after a lost
 executor or driver restart) changes nothing:
 
-* facts   append-only table, dynamic overwrite of partition ``batch_id=<n>``
+* facts   append-only table; batch <n> owns folder ``batch_id=<n>`` (overwritten on replay)
 * rollup  versioned snapshot (additive policy), skipped when already applied
 * ring    versioned snapshot of the last 50 pairs, skipped when applied
 """
@@ -89,11 +89,11 @@ class LiveSink:
         # the decoded batch feeds three writes: parse the JSON once
         batch = batch.persist()
         try:
-            rows = (live_rows(batch, self.session, self.record)
-                    .withColumn("dt", dt_of("ts"))
-                    .withColumn("batch_id", F.lit(batch_id).cast("long")))
-            (rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-                 .partitionBy("dt", "batch_id").parquet(self.facts_path))
+            rows = live_rows(batch, self.session, self.record).withColumn("dt", dt_of("ts"))
+            # each batch owns folder batch_id=<n> (dt partitions inside):
+            # a replay overwrites exactly that folder, nothing else is touched
+            (rows.write.mode("overwrite").partitionBy("dt")
+                 .parquet(f"{self.facts_path}/batch_id={batch_id}"))
             if not self.chats.applied(batch_id):
                 # order-independent additive merge: batches may arrive out of
                 # event-time order (files landed together, replays)
