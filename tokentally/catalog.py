@@ -222,6 +222,12 @@ def q_backfill_import(spark, d):
     return chats
 
 
+def q_import_per_line(spark, d):
+    lines = load_lines(spark, d).drop("line_ts")
+    tokens, _ = backfill_import(lines, _empty(spark, TOKENS), _empty(spark, CHATS), AS_OF, per_line=True)
+    return tokens.drop("id")
+
+
 def q_incremental_sync(spark, d):
     lines = load_lines(spark, d)
     early = lines.filter(F.col("line_ts") <= SYNC_T1).drop("line_ts")
@@ -332,6 +338,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "transcript_model_title": q_transcript_model_title,
     "transcript_span": q_transcript_span,
     "backfill_import": q_backfill_import,
+    "import_per_line": q_import_per_line,
     "incremental_sync": q_incremental_sync,
     "chat_list": q_chat_list,
     "chat_count": q_chat_count,

@@ -361,6 +361,15 @@ chats AS ({CHATS_SELECT} FROM ts_all WHERE {has_tokens()})"""
 
 BACKFILL_IMPORT = CHATS + "\nSELECT * FROM chats"
 
+IMPORT_PER_LINE = TS_ALL + f"""
+SELECT CAST(l.line_ts AS BIGINT) AS ts, l.session,
+       CAST(L * 3 + turn AS BIGINT) AS input, L AS output,
+       CAST(CASE WHEN turn >= 3 THEN L * 40 ELSE 0 END AS BIGINT) AS cache_read,
+       CAST(CASE WHEN turn < 3 THEN L * 5 ELSE 0 END AS BIGINT) AS cache_write,
+       CAST(0 AS BIGINT) AS ctx_pct, l.amodel AS model
+FROM lines l JOIN ts_all s ON s.session = l.session
+WHERE l.is_a AND {has_tokens('s')}"""
+
 INCREMENTAL_SYNC = LINES + sessions_cte("early", f"line_ts <= {SYNC_T1}") + sessions_cte("ts_all") + f"""
 {CHATS_SELECT} FROM early WHERE {has_tokens()}
 UNION ALL
@@ -435,6 +444,7 @@ ORACLES = {
     "transcript_model_title": TRANSCRIPT_MODEL_TITLE,
     "transcript_span": TRANSCRIPT_SPAN,
     "backfill_import": BACKFILL_IMPORT,
+    "import_per_line": IMPORT_PER_LINE,
     "incremental_sync": INCREMENTAL_SYNC,
     "chat_list": CHAT_LIST,
     "chat_count": CHAT_COUNT,
