@@ -94,6 +94,7 @@ def test_combined_views(spark):
     sink.apply(decode_events(encode_events(u)), 0)
     n_live = sink.facts().count()
     assert all_usage(store, sink).count() == store.tokens.read().count() + n_live
+    assert all_usage(store, sink).filter(F.col("source") == "live").count() == n_live
     chats = all_chats(store, sink)
     assert chats.count() == store.chats.read().count() + sink.rollup().count()
     assert chats.filter(F.col("session") == "20240130").first()["total_input"] == \

@@ -8,15 +8,21 @@ these views put them back together for the reports.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tokentally.operators.merge import upsert_monotone
 from tokentally.sources.schemas import TOKEN_COLUMNS
 
 
 def all_usage(store, sink=None) -> DataFrame:
-    """Imported aggregate fact rows plus live fact rows (``tokens``)."""
-    t = store.tokens.read().select(*TOKEN_COLUMNS)
-    return t if sink is None else t.unionByName(sink.facts().select(*TOKEN_COLUMNS))
+    """Imported aggregate fact rows plus live fact rows (``tokens``), with a
+    ``source`` column ('import' / 'live').  The same activity can appear in
+    both (a live day session and the transcript imported later); reports use
+    every row by default, as the metered tool does, and a user may filter."""
+    t = store.tokens.read().select(*TOKEN_COLUMNS, F.lit("import").alias("source"))
+    if sink is None:
+        return t
+    return t.unionByName(sink.facts().select(*TOKEN_COLUMNS, F.lit("live").alias("source")))
 
 
 def all_chats(store, sink=None) -> DataFrame:
