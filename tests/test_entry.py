@@ -37,3 +37,18 @@ def test_query_matches_oracle(spark, con, name):
     idx = [rel.columns.index(c) for c in cols]
     want = sorted((tuple(r[i] for i in idx) for r in rel.fetchall()), key=repr)
     assert got == want
+
+
+TIME_SENSITIVE = ["period_summary", "usage_series", "humanize", "live_append", "transcript_span",
+                  "incremental_sync", "import_per_line", "top_sessions"]
+
+
+@pytest.mark.parametrize("tz", ["America/Los_Angeles", "Asia/Kolkata"])
+def test_results_do_not_depend_on_session_time_zone(spark, con, tz):
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", tz)
+    try:
+        for name in TIME_SENSITIVE:
+            test_query_matches_oracle(spark, con, name)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)

@@ -10,8 +10,9 @@ from tokentally.sources.schemas import TOKEN_COLUMNS
 
 
 def live_session_key(ts_col: str = "ts"):
-    """The live session of an event: its date as yyyyMMdd (session time zone)."""
-    return F.date_format(F.timestamp_seconds(F.col(ts_col)), "yyyyMMdd")
+    """The live session of an event: its UTC date as yyyyMMdd."""
+    from tokentally.functions.timeparse import epoch_date
+    return F.date_format(epoch_date(F.col(ts_col)), "yyyyMMdd")
 
 
 def live_rows(decoded: DataFrame, session: str | None = None, record: bool = True) -> DataFrame:

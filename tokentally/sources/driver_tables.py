@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tokentally.functions.gauges import context_pct
-from tokentally.functions.timeparse import epoch_of_ntz
+from tokentally.functions.timeparse import epoch_of_ntz, epoch_to_iso
 
 # --- fixed values: fixture mapping of event types to model names ----------
 EVENT_MODEL = (
@@ -64,10 +64,6 @@ def load_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return usage_from_events(table(spark, sf_dir, "events"))
 
 
-def _iso(epoch: Column, fmt: str) -> Column:
-    return F.date_format(F.timestamp_seconds(epoch), fmt)
-
-
 def transcript_lines_from_conversations(conv: DataFrame) -> DataFrame:
     """conversations -> transcript lines (session, pos, value, line_ts).
 
@@ -99,8 +95,8 @@ def transcript_lines_from_conversations(conv: DataFrame) -> DataFrame:
         F.col("text").alias("content"),
         F.when(is_asst, usage).alias("usage"),
     )
-    stamp = (F.when(F.col("role") == "system", _iso(line_ts, "yyyy-MM-dd'T'HH:mm:ss'Z'"))
-              .otherwise(_iso(line_ts, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")))
+    stamp = (F.when(F.col("role") == "system", epoch_to_iso(line_ts, millis=False))
+              .otherwise(epoch_to_iso(line_ts, millis=True)))
     summary = F.when((F.col("role") == "user") & (turn % 2 == 0), F.col("text"))
     doc = F.struct(
         F.col("role").alias("type"),
