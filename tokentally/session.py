@@ -43,7 +43,7 @@ def scale_conf(input_bytes: int, total_cores: int, shuffle_fraction: float = 0.2
 
 def get_spark(master: str | None = None, app: str = "tokentally",
               shuffle_partitions: int | None = None, input_bytes: int | None = None,
-              total_cores: int | None = None) -> SparkSession:
+              total_cores: int | None = None, driver_memory: str | None = None) -> SparkSession:
     """Session tuned for the reports: AQE on, UTC, UI off.  With
     ``input_bytes`` and ``total_cores`` the partition sizing of
     ``scale_conf`` is applied."""
@@ -62,6 +62,9 @@ def get_spark(master: str | None = None, app: str = "tokentally",
         conf.update(scale_conf(input_bytes, total_cores))
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
+    if driver_memory:
+        # in local mode the driver JVM runs every task: size its heap
+        conf["spark.driver.memory"] = driver_memory
     for k, v in conf.items():
         b = b.config(k, v)
     spark = b.getOrCreate()
