@@ -99,3 +99,11 @@ def test_combined_views(spark):
     assert chats.count() == store.chats.read().count() + sink.rollup().count()
     assert chats.filter(F.col("session") == "20240130").first()["total_input"] == \
         sink.rollup().filter(F.col("session") == "20240130").first()["total_input"]
+
+
+def test_ring_follows_responses_when_not_recording(spark):
+    u = sample(spark)
+    sink = LiveSink(spark, scratch_dir(spark, "t-norec"), record=False)
+    sink.apply(decode_events(encode_events(u)), 0)
+    assert sink.facts().count() == 0 and sink.rollup().count() == 0
+    assert sink.ring.read().count() == 50

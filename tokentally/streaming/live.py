@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from tokentally.constants import HISTORY_KEEP
-from tokentally.operators.history import history_last
+from tokentally.operators.history import history_last, recorded
 from tokentally.operators.pruning import dt_of
 from tokentally.operators.merge import keyed_delta, merge_keyed
 from tokentally.plans.live import live_rows
@@ -103,7 +103,8 @@ class LiveSink:
                     self.chats.write(merge_keyed(self.chats.read(), delta), batch_id)
             if not self.ring.applied(batch_id):
                 old = self.ring.read().select("ts", "id", "input", "output")
-                new = rows.select("ts", "id", "input", "output")
+                # the ring follows every response with tokens, recorded or not
+                new = recorded(batch).select("ts", "id", "input", "output")
                 self.ring.write(history_last(old.unionByName(new), HISTORY_KEEP), batch_id)
         finally:
             batch.unpersist()
