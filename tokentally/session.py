@@ -88,8 +88,9 @@ def checkpoint_root(spark: SparkSession) -> str:
     if not root:
         if not _is_local(spark):
             raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
+        # spark.checkpoint.dir is fixed at start-up; the context's checkpoint
+        # folder can still be set for this local session
         root = tempfile.mkdtemp(prefix="tokentally-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", root)
         spark.sparkContext.setCheckpointDir(root)
     return root
 
