@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from tokentally.llm.op5_mix import op5_mix
+from tokentally.llm.op7_decontaminate import op7_decontaminate
 from tokentally.llm.op9_token_file import op9_token_file
 
 QUERIES = {
     "op5_mix": op5_mix,
+    "op7_decontaminate": op7_decontaminate,
     "op9_token_file": op9_token_file,
 }
 
