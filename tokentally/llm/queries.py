@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tokentally.llm.op1_html import op1_html
 from tokentally.llm.op10_quotes import op10_quotes
 from tokentally.llm.op5_mix import op5_mix
 from tokentally.llm.op7_decontaminate import op7_decontaminate
@@ -9,6 +10,7 @@ from tokentally.llm.op8_licenses import op8_licenses
 from tokentally.llm.op9_token_file import op9_token_file
 
 QUERIES = {
+    "op1_html": op1_html,
     "op5_mix": op5_mix,
     "op7_decontaminate": op7_decontaminate,
     "op8_licenses": op8_licenses,
