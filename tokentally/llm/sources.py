@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import functools
+import os
+import tempfile
+import zipfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -12,6 +16,32 @@ from tokentally.llm import textops
 from tokentally.session import scratch_dir
 
 
+def ship(spark: SparkSession) -> None:
+    """Give the package's code to the session's Python workers (once a session)."""
+    context = spark.sparkContext
+    if getattr(context, "_tokentally_shipped", False):
+        return
+    top = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    path = os.path.join(tempfile.mkdtemp(prefix="tokentally-code-"), "tokentally_code.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for folder, _, names in os.walk(os.path.join(top, "tokentally")):
+            for name in names:
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    z.write(full, os.path.relpath(full, top))
+    context.addPyFile(path)
+    context._tokentally_shipped = True
+
+
+def shipped(query: Callable) -> Callable:
+    """A query or stage that first ships the package's code."""
+    @functools.wraps(query)
+    def run(spark: SparkSession, *rest):
+        ship(spark)
+        return query(spark, *rest)
+    return run
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
