@@ -50,24 +50,6 @@ MATCHES = "array<struct<item_id:bigint,start:bigint,end:bigint,edits:int>>"
 _MATCH_TYPE = pa.list_(pa.struct([("item_id", pa.int64()), ("start", pa.int64()), ("end", pa.int64()),
                                   ("edits", pa.int32())]))
 
-_NORMAL = textops.LOWER.copy()
-_WORDY = np.ones(256, bool)
-_WORDY[:128] = False
-_WORDY[np.r_[48:58, 65:91, 97:123]] = True
-_NORMAL[~_WORDY] = 32
-
-
-def normalise(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Normal bytes of the texts, their offsets, and the original place of each kept byte."""
-    b = _NORMAL[raw]
-    keep = _WORDY[raw]
-    first = np.zeros(len(raw), bool)
-    first[off[:-1][off[:-1] < len(raw)]] = True
-    keep[1:] |= keep[:-1].copy() & ~first[1:]       # the first separator after a word stays
-    at = np.flatnonzero(keep)
-    return b[at], np.searchsorted(at, off), at
-
-
 def qgrams(b: np.ndarray, q: int = Q) -> np.ndarray:
     """64-bit hash of the q bytes from each place (len - q + 1 of them)."""
     out = np.zeros(max(len(b) - q + 1, 0), np.uint64)
@@ -104,7 +86,7 @@ def build_index(items: list[tuple[int, str]], q: int = Q, rate: float = RATE) ->
     ids, texts, keys, owner, place = [], [], [], [], []
     for item_id, text in items:
         raw, off = textops.utf8(pa.array([text], pa.large_string()))
-        b = normalise(raw, off)[0]
+        b = textops.normalise(raw, off)[0]
         b = b[:-1] if len(b) and b[-1] == 32 else b
         if len(b) < q:
             continue
@@ -222,7 +204,7 @@ def _finder(blocks: list[Index]):
         def compute(raw: np.ndarray, off: np.ndarray):
             out: list[list] = [[] for _ in range(len(off) - 1)]
             if blocks:
-                b, boff, at = normalise(raw, off)
+                b, boff, at = textops.normalise(raw, off)
                 chars = None
                 for index in blocks:
                     for d, x, lo, hi, edits in _search(index, b, boff):

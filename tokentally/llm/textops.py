@@ -24,6 +24,12 @@ SPACE[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
+_NORMAL = LOWER.copy()
+_WORDY = np.ones(256, bool)
+_WORDY[:128] = False
+_WORDY[np.r_[48:58, 65:91, 97:123]] = True
+_NORMAL[~_WORDY] = 32
+
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _POWERS: dict[int, np.ndarray] = {}
@@ -124,3 +130,14 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 def list_array(values: np.ndarray, off: np.ndarray, kind: pa.DataType) -> pa.Array:
     """Arrow list column from flat values and offsets."""
     return pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(values, kind))
+
+
+def normalise(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Normal bytes of the texts, their offsets, and the original place of each kept byte."""
+    b = _NORMAL[raw]
+    keep = _WORDY[raw]
+    first = np.zeros(len(raw), bool)
+    first[off[:-1][off[:-1] < len(raw)]] = True
+    keep[1:] |= keep[:-1].copy() & ~first[1:]       # the first separator after a word stays
+    at = np.flatnonzero(keep)
+    return b[at], np.searchsorted(at, off), at
