@@ -5,6 +5,7 @@ from __future__ import annotations
 from tokentally.llm.op1_html import op1_html
 from tokentally.llm.op10_quotes import op10_quotes
 from tokentally.llm.op2_toxicity import op2_toxicity
+from tokentally.llm.op3_lm import op3_lm
 from tokentally.llm.op4_jaccard import op4_jaccard
 from tokentally.llm.op5_mix import op5_mix
 from tokentally.llm.op6_perplexity import op6_perplexity
@@ -16,6 +17,7 @@ from tokentally.llm.sources import shipped
 QUERIES = {
     "op1_html": op1_html,
     "op2_toxicity": op2_toxicity,
+    "op3_lm": op3_lm,
     "op4_jaccard": op4_jaccard,
     "op5_mix": op5_mix,
     "op6_perplexity": op6_perplexity,

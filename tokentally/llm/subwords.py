@@ -136,14 +136,18 @@ class PieceEncoder:
             at, have = known()
         return self.rows[at][back]
 
+    def encode_spans(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the spans (sorted, disjoint), flat, and the number of ids of each."""
+        if len(starts) == 0:
+            return np.zeros(0, np.int32), np.zeros(0, np.int64)
+        row = self.piece_rows(raw, starts, ends)
+        lengths = self.length[row]
+        return self.flat[textops.ragged(self.start[row], lengths)], lengths
+
     def encode_bytes(self, raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, flat, and the number of ids of each text."""
         starts, piece_off = piece_starts(raw, off, self.point)
-        if len(starts) == 0:
-            return np.zeros(0, np.int32), np.zeros(len(off) - 1, np.int64)
-        row = self.piece_rows(raw, starts, np.append(starts[1:], len(raw)))
-        lengths = self.length[row]
-        ids = self.flat[textops.ragged(self.start[row], lengths)]
+        ids, lengths = self.encode_spans(raw, starts, np.append(starts[1:], len(raw))[:len(starts)])
         total = np.concatenate([[0], np.cumsum(lengths)])
         return ids, np.diff(total[piece_off])
 
