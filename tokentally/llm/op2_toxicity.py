@@ -34,11 +34,13 @@ from tokentally.llm import textops
 from tokentally.llm.sources import append
 
 #: Most labelled documents of a class that the classifier is fitted on.
-SAMPLE = 4000
+SAMPLE = 3000
 #: Copies of a word in its window.
 REPEAT = 4
 #: Windows of ordinary text (words each, and how many) for its dictionary.
 ORDINARY_WORDS, ORDINARY_WINDOWS = 8, 100_000
+#: (d, k) of the toxic dictionaries that are trained; the one that separates the fitted documents best is kept.
+COVERS = ((0, 0), (6, 16), (6, 24), (6, 32), (8, 24), (8, 32), (6, 48))
 #: Most bytes of the two dictionaries.
 ORDINARY_BYTES, TOXIC_BYTES = 64 << 10, 4 << 10
 #: Words set toxic text apart from this log-likelihood ratio and this ratio of rates on.
@@ -152,34 +154,53 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.3, steps: int = 30)
     return w
 
 
-def _dictionary(size: int, samples: list[bytes]) -> tuple[bytes, bool]:
+def _dictionary(size: int, samples: list[bytes], d: int = 0, k: int = 0) -> tuple[bytes, bool]:
     """A trained dictionary, or its samples as raw content if they are too few to train on."""
     try:
-        return zstandard.train_dictionary(size, samples).as_bytes(), False
+        return zstandard.train_dictionary(size, samples, d=d, k=k).as_bytes(), False
     except zstandard.ZstdError:
         return b"".join(sorted(set(samples)))[-size:], True
 
 
-def fit(toxic: list[str], ordinary: list[str]) -> Model:
+def _contexts(texts: pa.Array, windows: int | None, rng):
+    """Words of the texts (hashes, sorted), their numbers of distinct contexts, and the sum of these;
+    then the spelling of each word, or (with ``windows``) samples of the texts' windows."""
+    words, contexts, spelled, plain = [], [], {}, []
+    for batch in textops.chunks([pa.record_batch({"t": texts})], "t"):
+        b, starts, ends, word_off, h = _words(*textops.utf8(batch.column("t")))
+        if len(h) == 0:
+            continue
+        doc = textops.segments(np.diff(word_off))
+        same = np.append(doc[1:] == doc[:-1], False)
+        after = np.where(same, np.append(h[1:], np.uint64(0)), np.uint64(0))
+        before = np.where(np.append(False, same[:-1]), np.append(np.uint64(0), h[:-1]), np.uint64(0))
+        context, first = np.unique(textops.mix64(h + before * np.uint64(3)) + after * np.uint64(5), return_index=True)
+        words.append(h[first])
+        contexts.append(context)
+        if windows is None:
+            key, at = np.unique(h, return_index=True)
+            spelled.update((k, b[starts[i]:ends[i]].tobytes()) for k, i in zip(key.tolist(), at.tolist()) if k not in spelled)
+        else:
+            at = np.arange(0, len(h), ORDINARY_WORDS)
+            take = max(1, ORDINARY_WINDOWS * batch.num_rows // windows)
+            at = at[rng.permutation(len(at))[:take]]
+            stop = np.minimum(at + ORDINARY_WORDS, len(h)) - 1
+            plain += [b" " + b[starts[i]:ends[j]].tobytes() for i, j in zip(at, stop)]
+    if not words:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), 0, [], []
+    _, first = np.unique(np.concatenate(contexts), return_index=True)
+    keys, counts = np.unique(np.concatenate(words)[first], return_counts=True)
+    return keys, counts, len(first), [spelled[k] for k in keys.tolist()] if windows is None else [], plain
+
+
+def fit(toxic: pa.Array, ordinary: pa.Array) -> Model:
     """Dictionaries and calibration from labelled texts."""
     blank = Model(b"", True, b"", True, np.array([-30.0] + [0.0] * (MAX_GAP + 1)))
     if not toxic or not ordinary:
         return blank
-    raw, off = textops.utf8(pa.array(toxic + ordinary, pa.large_string()))
-    b, starts, ends, word_off, h = _words(raw, off)
-    doc = textops.segments(np.diff(word_off))
-    same = np.append(doc[1:] == doc[:-1], False)
-    after = np.where(same, np.append(h[1:], np.uint64(0)), np.uint64(0))
-    before = np.where(np.append(False, same[:-1]), np.append(np.uint64(0), h[:-1]), np.uint64(0))
-    split = int(word_off[len(toxic)])
-    context = textops.mix64(h + before * np.uint64(3)) + after * np.uint64(5)
-
-    def per_word(part: slice):
-        _, first = np.unique(context[part], return_index=True)
-        return np.unique(h[part][first], return_counts=True), len(first)
-
-    (tk, tc), nt = per_word(slice(0, split))
-    (ok, oc), no = per_word(slice(split, len(h)))
+    rng = np.random.default_rng(7)
+    tk, tc, nt, spelled, _ = _contexts(toxic, None, rng)
+    ok, oc, no, _, plain = _contexts(ordinary, max(1, len(ordinary)), rng)
     if nt == 0 or no == 0:
         return blank
     at = np.minimum(np.searchsorted(ok, tk), len(ok) - 1)
@@ -188,26 +209,45 @@ def fit(toxic: list[str], ordinary: list[str]) -> Model:
     total = tc + co
     g2 = 2 * (tc * np.log(tc / (total * share)) + co * np.log(np.maximum(co, 1) / (total * (1 - share))))
     apart = (g2 >= LEAST_G2) & (tc / nt >= LEAST_RATIO * (co + 0.5) / no)
-    where = dict(zip(*[x.tolist() for x in np.unique(h[:split], return_index=True)]))
-    samples = []
-    for key, count in zip(tk[apart].tolist(), tc[apart].tolist()):
-        i = where[key]
-        samples += [b" " + b[starts[i]:ends[i]].tobytes() + b" "] * min(count, 200)
-    rng = np.random.default_rng(7)
+    samples = [b" " + spelled[i] + b" " for i in np.flatnonzero(apart).tolist() for _ in range(min(int(tc[i]), 200))]
     samples = [samples[i] for i in rng.permutation(len(samples))]
-    windows = np.arange(split, len(h), ORDINARY_WORDS)
-    windows = windows[rng.permutation(len(windows))[:ORDINARY_WINDOWS]]
-    stop = np.minimum(windows + ORDINARY_WORDS, len(h)) - 1
-    plain = [b" " + b[starts[i]:ends[j]].tobytes() for i, j in zip(windows, stop)]
     if not samples:
         return blank
-    model = Model(*_dictionary(ORDINARY_BYTES, plain), *_dictionary(TOXIC_BYTES, samples), np.zeros(MAX_GAP + 2))
     y = np.r_[np.ones(len(toxic)), np.zeros(len(ordinary))]
-    gaps, x = Gaps(model), []
-    for batch in textops.chunks([pa.record_batch({"t": pa.array(toxic + ordinary, pa.large_string())})], "t"):
-        x.append(evidence(gaps, *textops.utf8(batch.column("t"))))
-    model.weights = logistic(np.concatenate(x), y)
-    return model
+    ordinary_dictionary = _dictionary(ORDINARY_BYTES, plain)
+    keys, spelled = _spelled(pa.chunked_array([toxic, ordinary]))
+    lengths = _lengths(ordinary_dictionary, spelled)
+    best = None
+    for d, k in COVERS:
+        model = Model(*ordinary_dictionary, *_dictionary(TOXIC_BYTES, samples, d, k), np.zeros(MAX_GAP + 2))
+        gaps = Gaps(model)
+        gaps.keys = keys
+        gaps.gaps = np.clip(lengths - _lengths((model.toxic, model.toxic_raw), spelled), 0, MAX_GAP).astype(np.int8)
+        x = np.concatenate([evidence(gaps, *textops.utf8(batch.column("t"))) for texts in (toxic, ordinary)
+                            for batch in textops.chunks([pa.record_batch({"t": texts})], "t")])
+        model.weights = logistic(x, y)
+        loss = float(np.logaddexp(0, -(2 * y - 1) * (x @ model.weights)).sum())
+        if best is None or loss < best[0]:
+            best = (loss, model)
+    return best[1]
+
+
+def _spelled(texts: pa.ChunkedArray) -> tuple[np.ndarray, list[bytes]]:
+    """Distinct words of the texts: sorted hashes and spellings."""
+    out: dict[int, bytes] = {}
+    for chunk in texts.chunks:
+        for batch in textops.chunks([pa.record_batch({"t": chunk})], "t"):
+            b, starts, ends, _, h = _words(*textops.utf8(batch.column("t")))
+            key, at = np.unique(h, return_index=True)
+            out.update((k, b[starts[i]:ends[i]].tobytes()) for k, i in zip(key.tolist(), at.tolist()) if k not in out)
+    keys = np.array(sorted(out), np.uint64)
+    return keys, [out[k] for k in keys.tolist()]
+
+
+def _lengths(dictionary: tuple[bytes, bool], words: list[bytes]) -> np.ndarray:
+    """Compressed length of each word's window."""
+    compress = _compressor(*dictionary).compress
+    return np.fromiter((len(compress((b" " + w) * REPEAT)) for w in words), np.int64, len(words))
 
 
 def held_out(doc_id):
@@ -228,9 +268,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     rows = (docs.select(F.col("doc_id").cast("long").alias("label_id"), F.col("text").cast("string").alias("text"))
             .where("text is not null").join(F.broadcast(chosen), "label_id")
             .groupBy("label_id", "toxic").agg(F.min("text").alias("text")).orderBy("label_id").toArrow())
-    toxic = rows.column("toxic").to_pylist()
-    texts = rows.column("text").to_pylist()
-    return fit([t for t, x in zip(texts, toxic) if x == 1], [t for t, x in zip(texts, toxic) if x == 0])
+    texts, toxic = rows.column("text").combine_chunks(), rows.column("toxic").to_numpy()
+    return fit(texts.filter(pa.array(toxic == 1)), texts.filter(pa.array(toxic == 0)))
 
 
 def score_texts(docs: DataFrame, model: Model, name: str = "score", keep: list[str] | None = None) -> DataFrame:
