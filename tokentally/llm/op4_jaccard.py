@@ -4,10 +4,12 @@ Documents are sets of word shingles (64-bit hashes).  The result is exact: every
 pair of sets with Jaccard similarity >= ``num / den`` ends in one component.
 
 1. Equal sets are one node (digest); copies never meet in pairs.
-2. Prefix rule: two sets that link share a token among the first
-   n - ceil(t n) + 1 of each in any common order.  Tokens that are frequent in a
-   sample of documents go last in the order, so shared lines and passages don't
-   bring unlike documents together; the order changes the work, not the result.
+2. Prefix rule: two sets that link share at least l tokens among the first
+   n - ceil(t n) + l of each in any common order (l: 1 and ``EXTRA`` percent of the
+   size).  A set with fewer shared tokens in its prefix links with nothing and is
+   done.  Tokens that are frequent in a sample of documents go last in the order,
+   so shared lines and passages don't bring unlike documents together; the order
+   changes the work, not the result.
 3. First pass: nodes meet under their first shared prefix token, in blocks of
    ``BLOCK`` nodes (large groups are dealt into blocks in several ways).  A
    signature tree over a block (leaves: token bitmap and size; above: OR-combined
@@ -48,6 +50,10 @@ from tokentally.llm.sources import materialize
 BLOCK = 512
 #: Ways in which a group beyond a block is dealt into blocks in the first pass.
 DEALS = 3
+#: Percent of a set's size by which its prefix, and the tokens it must share there, grow.
+EXTRA = 3
+#: Slots of the bitmap that spares documents without partners the second reading (a fixed size).
+SLOTS = 1 << 22
 #: Documents of the sample that finds frequent tokens, least count there, and most tokens kept.
 SAMPLE_DOCS, SAMPLE_LEAST, FREQUENT_MAX = 20_000, 4, 1_000_000
 #: Children of a signature tree node.
@@ -64,8 +70,12 @@ class Rule:
     den: int = 100
 
     def prefix(self, n: int) -> int:
-        """Tokens of which one is shared by any two sets that link."""
-        return n - -(-self.num * n // self.den) + 1
+        """Length of the prefix in which sets that link share ``1 + EXTRA * size // 100`` tokens."""
+        return n - -(-self.num * n // self.den) + 1 + EXTRA * n // 100
+
+    def least_shared(self, n):
+        """Tokens that a set of this size shares in its prefix with any set it links with (which may be smaller)."""
+        return 1 + F.floor(EXTRA * F.ceil(self.num * n / self.den) / 100)
 
     def overlap(self, a, b):
         """Least number of common tokens of linked sets of these sizes."""
@@ -153,6 +163,16 @@ def frequent_tokens(docs: DataFrame, rule: Rule) -> np.ndarray:
     return np.sort(seen.column("token").to_numpy().view(np.uint64))
 
 
+def _in_slots(slots):
+    """Documents whose slot is set in the bitmap."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            slot = batch.column("slot").to_numpy()
+            hit = (slots.value[slot // 32] >> (slot % 32).astype(np.uint32)) & 1
+            yield batch.drop_columns(["slot"]).filter(pa.array(hit.astype(bool)))
+    return run
+
+
 def _full_sets(rule: Rule):
     """(node, n, tokens) of the documents whose set is the expected node."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -447,16 +467,29 @@ def jaccard_groups(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
                        "jaccard-sets")
     classes = sets.where("n > 0").groupBy("node").agg(
         F.min(F.struct("doc_id", "th")).alias("rep"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    # prefix tokens that two nodes share
-    index = classes.select("node", F.posexplode("prefix").alias("pos", "token"))
+    # prefix tokens that two nodes share; counts and rows come from one exchange
+    index = (classes.select("node", "n", F.explode("prefix").alias("token"))
+             .repartition(F.col("token")))
+    shared = index.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
+    index = materialize(index.join(shared, "token"), "jaccard-index")
+    # sets that share enough; what they share is counted again among them
+    passed = (index.groupBy("node").agg(F.count("*").alias("met"), F.first("n").alias("n"))
+              .where(F.col("met") >= rule.least_shared(F.col("n"))).select("node"))
+    index = index.drop("df").join(passed, "node", "left_semi")
     shared = index.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
     index = materialize(index.join(shared, "token"), "jaccard-index")
-    first = index.groupBy("node").agg(F.min(F.struct("pos", "token", "df")).alias("m"))
-    wanted = (sets.where("n > 0").groupBy("node").agg(F.min(F.struct("doc_id", "th")).alias("rep"))
-              .join(first, "node").select("node", "rep.doc_id", "rep.th", F.col("m.token").alias("key"), F.col("m.df").alias("df"))
-              .alias("w"))
-    d = docs.alias("d")
-    full = (d.join(wanted, F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("d.th") == F.col("w.th")))
+    first = index.groupBy("node").agg(F.min(F.struct("token", "df")).alias("m"))
+    wanted = materialize(classes.select("node", "rep").join(first, "node").select(
+        "node", "rep.doc_id", "rep.th", F.col("m.token").alias("key"), F.col("m.df").alias("df")), "jaccard-wanted")
+    slot = F.pmod(F.xxhash64("th"), F.lit(SLOTS))
+    bits = (wanted.groupBy(F.floor(slot / 32).alias("word"))
+            .agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(xxhash64(th), {SLOTS}) % 32 as int))")).alias("bits")).toArrow())
+    slots = np.zeros(SLOTS // 32, np.uint32)
+    slots[bits.column("word").to_numpy()] = bits.column("bits").to_numpy()
+    slots = spark.sparkContext.broadcast(slots)
+    w = wanted.alias("w")
+    d = docs.withColumn("slot", slot).mapInArrow(_in_slots(slots), "doc_id long, text string, th long").alias("d")
+    full = (d.join(w, F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("d.th") == F.col("w.th")))
             .select("w.node", "d.text").mapInArrow(_full_sets(rule), "node long, n long, tokens binary"))
     full = materialize(full, "jaccard-full")
 
