@@ -76,6 +76,9 @@ class PieceEncoder:
         self.start = np.zeros(0, np.int64)
         self.flat = np.zeros(0, np.int32)
 
+    def _ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
     def _each(self, found: list[str]) -> tuple[np.ndarray, np.ndarray]:
         ids = [e.ids for e in self.tokenizer.encode_batch_fast(found, add_special_tokens=False)]
         return (np.fromiter((x for y in ids for x in y), np.int32),
@@ -89,7 +92,7 @@ class PieceEncoder:
             while j < len(found) and (j == i or size < JOINED_CHARS):
                 size += len(found[j])
                 j += 1
-            ids = np.array(self.tokenizer.encode("".join(found[i:j]), add_special_tokens=False).ids, np.int32)
+            ids = np.array(self._ids("".join(found[i:j])), np.int32)
             ends = np.cumsum(self.id_bytes[ids])
             want = np.cumsum([len(p.encode()) for p in found[i:j]])
             at = np.searchsorted(ends, want)
@@ -155,6 +158,45 @@ class PieceEncoder:
         return self.encode_bytes(*textops.utf8(pa.array(texts, pa.large_string())))
 
 
+class RankEncoder(PieceEncoder):
+    """The same for a file of byte-pair ranks, through ``tiktoken``."""
+
+    def __init__(self, path: str):
+        import base64
+
+        import public_tokenizers
+        import tiktoken
+        with open(path, "rb") as f:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        self.tokenizer = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks,
+                                           special_tokens={})
+        self.vocab_size = max(ranks.values()) + 1
+        self.id_bytes = np.zeros(self.vocab_size, np.int64)
+        self.begins = np.zeros(self.vocab_size, bool)      # ids that start with a space
+        for token, i in ranks.items():
+            self.id_bytes[i] = len(token)
+            self.begins[i] = token.startswith(b" ")
+        self._reset()
+
+    def _ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode_ordinary(text)
+
+    def _each(self, found: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = [self.tokenizer.encode_ordinary(t) for t in found]
+        return (np.fromiter((x for y in ids for x in y), np.int32), np.fromiter(map(len, ids), np.int64, len(ids)))
+
+
+@lru_cache(maxsize=2)
+def rank_encoder(path: str) -> RankEncoder:
+    """The worker's encoder for a file of ranks."""
+    return RankEncoder(path)
+
+
+def default_ranks() -> str:
+    import public_tokenizers
+    return public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+
 @lru_cache(maxsize=2)
 def encoder(path: str) -> PieceEncoder:
     """The worker's encoder; the path must be readable on every executor (it is installed software)."""
