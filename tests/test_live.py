@@ -69,3 +69,34 @@ def test_running_totals_match_plain_window(spark):
     want = {r["id"]: (r["a"], r["b"]) for r in
             u.select("id", F.sum("input").over(w).alias("a"), F.sum("cache_write").over(w).alias("b")).collect()}
     assert got == want
+
+
+def test_status_counts_earlier_events_of_the_batch(spark):
+    from tokentally.plans.live import live_status
+    stored = usage_df(spark, [(1, 10, "a", 100, 10, 0, 0, "m-opus-1")])
+    events = usage_df(spark, [(2, 20, "a", 5, 1, 0, 0, "m-opus-1"), (3, 21, "a", 0, 0, 9, 9, "m-opus-1"),
+                              (4, 22, "a", 7, 2, 0, 0, "m-opus-1"), (5, 22, "b", 1, 1, 0, 0, "")])
+    r = {x["id"]: x for x in live_status(stored, events, 30).collect()}
+    assert [r[i]["session_input"] for i in (2, 3, 4, 5)] == [105, 105, 112, 1]
+    assert [r[i]["session_cache_read"] for i in (2, 3, 4)] == [0, 9, 0]      # cache-only events are not stored
+    assert r[2]["in_bar"] == "0" * 28 + "70" and r[3]["in_bar"] == r[2]["in_bar"]
+    assert r[5]["in_bar"] == "0" * 26 + "7000" and r[5]["out_bar"] == "0" * 26 + "7010"
+
+
+def test_running_totals_keep_rows_without_key_or_stamp(spark):
+    u = usage_df(spark, [(1, 10, "a", 1, 0, 0, 0, "m"), (2, None, "a", 2, 0, 0, 0, "m"), (3, 10, None, 4, 0, 0, 0, "m"),
+                         (4, 11, None, 8, 0, 0, 0, "m")])
+    assert {r["id"]: r["run_input"] for r in running_totals(u).collect()} == {1: 3, 2: 2, 3: 4, 4: 12}
+
+
+def test_costs_and_counts_beyond_long(spark):
+    from tokentally.functions.pricing import cost_cents
+    from tokentally.operators.extract import rejected_counts, transcript_sessions
+    big = spark.createDataFrame([(10 ** 16,)], "n long").select(cost_cents(F.lit("m-opus-1"), "n", "n", "n", "n").alias("c"))
+    assert big.first()["c"] == 10 ** 16 * (1500 + 7500 + 150 + 1875) // 10 ** 6
+    lines = spark.createDataFrame([("s", (0, 0), '{"input_tokens":12345678901234567890,"output_tokens":5}'),
+                                   ("s", (0, 1), '{"input_tokens":3}')],
+                                  "session string, pos struct<blk:bigint,seq:bigint>, value string")
+    row = transcript_sessions(lines, AS_OF).first()
+    assert (row["input"], row["output"]) == (3, 5)
+    assert [tuple(r) for r in rejected_counts(lines).collect()] == [("s", 1)]

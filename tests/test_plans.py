@@ -3,6 +3,7 @@
 import pytest
 
 import __spark_entry__ as E
+from tokentally.catalog import QUERIES
 from tokentally.operators.history import history_last
 from tokentally.sources.driver_tables import load_usage
 
@@ -37,7 +38,7 @@ def test_top_k_is_take_ordered(spark, capsys):
     assert "TakeOrderedAndProject" in p
 
 
-@pytest.mark.parametrize("name", sorted(k for k in E.queries() if not k.startswith("stream_")))
+@pytest.mark.parametrize("name", sorted(k for k in QUERIES if not k.startswith("stream_")))
 def test_no_python_in_plans(spark, capsys, name):
     p = plan_of(E.queries()[name](spark, SF), capsys)
     assert "EvalPython" not in p and "PythonUDF" not in p and "ExistingRDD" not in p

@@ -50,10 +50,10 @@ def test_live_stream_equals_batch_and_replay_is_noop(spark, capsys):
     ring = sink.ring.read().orderBy("pos").collect()
     assert len(ring) == 50 and ring[-1]["id"] == 119
     # replaying the last batch changes nothing
-    last = sink.chats.current()["batch_id"]
+    last, stream = sink.chats.current()["batch_id"], sink.chats.current()["stream"]
     ids = spark.read.parquet(sink.facts_path).filter(F.col("batch_id") == last).select("id")
     replay = decode_events(encode_events(u)).join(ids, "id", "left_semi")
-    sink.apply(replay, last)
+    sink.apply(replay, last, stream)
     assert sorted(map(tuple, sink.rollup().collect())) == got_chats
     assert sink.facts().count() == batch.count()
 
@@ -73,12 +73,12 @@ def test_transcript_stream_reads_only_new_files(spark, tmp_dir):
     _write(os.path.join(root, "a", "agent-9.jsonl"), [u(99, 99)])
     store = UsageStore.open(spark, scratch_dir(spark, "t-sync-store"))
     ckpt = scratch_dir(spark, "t-sync-ckpt")
-    start_sync(transcript_stream(spark, root), store, AS_OF, ckpt).awaitTermination()
+    start_sync(transcript_stream(spark, root), store, AS_OF, ckpt, root).awaitTermination()
     first = {r["session"]: r["total_input"] for r in store.chats.read().collect()}
     assert first == {"s1": 15}
     _write(os.path.join(root, "a", "s1.jsonl"), [u(1000, 1)], mode="a")   # grows: ignored
     _write(os.path.join(root, "b", "s2.jsonl"), [u(7, 7)])
-    start_sync(transcript_stream(spark, root), store, AS_OF, ckpt).awaitTermination()
+    start_sync(transcript_stream(spark, root), store, AS_OF, ckpt, root).awaitTermination()
     second = {r["session"]: r["total_input"] for r in store.chats.read().collect()}
     assert second == {"s1": 15, "s2": 7}
     assert store.ledger.read().count() == 2
@@ -107,3 +107,58 @@ def test_ring_follows_responses_when_not_recording(spark):
     sink.apply(decode_events(encode_events(u)), 0)
     assert sink.facts().count() == 0 and sink.rollup().count() == 0
     assert sink.ring.read().count() == 50
+
+
+def test_second_checkpoint_adds_to_the_sink(spark):
+    u = sample(spark)
+    sink = LiveSink(spark, scratch_dir(spark, "t-two-sink"))
+    for part in (F.col("id") < 60, F.col("id") >= 60):
+        src = scratch_dir(spark, "t-two-src")
+        encode_enveloped(u.filter(part)).write.text(src)
+        start_live_ingest(live_source(spark, src), sink, scratch_dir(spark, "t-two-ckpt")).awaitTermination()
+    batch = live_rows(decode_events(encode_events(u)))
+    assert sorted(map(tuple, sink.facts().drop("dt").collect())) == sorted(map(tuple, batch.collect()))
+    assert sink.rollup().agg(F.sum("total_input")).first()[0] == batch.agg(F.sum("input")).first()[0]
+    assert max(r["id"] for r in sink.ring.read().collect()) == 119
+
+
+def test_only_a_missing_table_reads_as_empty(spark):
+    import pytest
+    assert LiveSink(spark, scratch_dir(spark, "t-none")).facts().count() == 0
+    with pytest.raises(Exception, match="nosuchscheme"):
+        LiveSink(spark, "nosuchscheme://x/y").facts()
+    with pytest.raises(Exception, match="nosuchscheme"):
+        LiveSink(spark, "nosuchscheme://x/y").rollup()
+
+
+def test_session_without_tokens_is_read_again(spark, tmp_dir):
+    u = {"message": {"model": "m-haiku-3", "usage": {"input_tokens": 4, "output_tokens": 1}}}
+    for how in ("batch", "stream"):
+        root = os.path.join(tmp_dir, how)
+        _write(os.path.join(root, "s1.jsonl"), [{"summary": "none yet"}])
+        _write(os.path.join(root, "s2.jsonl"), [u])
+        store, ckpt = UsageStore.open(spark, scratch_dir(spark, "t-again")), scratch_dir(spark, "t-again-ckpt")
+
+        def run():
+            if how == "batch":
+                store.sync_folder(root, AS_OF)
+            else:
+                start_sync(transcript_stream(spark, root), store, AS_OF, ckpt, root).awaitTermination()
+        run()
+        assert {r["session"] for r in store.chats.read().collect()} == {"s2"}
+        _write(os.path.join(root, "s1.jsonl"), [u, u], mode="a")
+        _write(os.path.join(root, "s3.jsonl"), [u])
+        run()
+        assert {r["session"]: r["total_input"] for r in store.chats.read().collect()} == {"s1": 8, "s2": 4, "s3": 4}
+
+
+def test_equal_names_last_path_and_synced_files_unread(spark, tmp_dir):
+    from tokentally.sources.transcripts import read_transcripts
+    u = lambda i: {"message": {"usage": {"input_tokens": i, "output_tokens": 1}}}
+    _write(os.path.join(tmp_dir, "a", "s.jsonl"), [u(10)])
+    _write(os.path.join(tmp_dir, "b", "s.jsonl"), [u(100)])
+    _write(os.path.join(tmp_dir, "b", "t.jsonl"), [u(1)])
+    lines = read_transcripts(spark, tmp_dir)
+    assert sorted(r["value"].count("100") for r in lines.collect()) == [0, 1]
+    left = read_transcripts(spark, tmp_dir, spark.createDataFrame([("s",)], "session string"))
+    assert {f.rsplit("/", 1)[1] for f in left.inputFiles()} == {"t.jsonl"}

@@ -13,6 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tokentally.constants import CHART_SLOTS, CHARTS
 from tokentally.constants import FIXTURE_AS_OF as AS_OF
 from tokentally.functions import (bar_filled, bar_zones, cost_cents, cost_cents_ex_cache, humanize,
                                   idiv, model_family)
@@ -32,7 +33,8 @@ from tokentally.sources.driver_tables import TRANSCRIPT_BASE, load_lines, load_u
 from tokentally.session import scratch_dir
 from tokentally.sources.literal import empty_table
 from tokentally.sources.live import decode_events, encode_events
-from tokentally.sources.schemas import CHAT_COLUMNS, CHATS, LEDGER, TOKEN_COLUMNS, TOKENS
+from tokentally.sources.schemas import CHATS, LEDGER, TOKENS
+from tokentally.sources.transcripts import list_transcripts, read_transcripts
 
 DAY, WEEK = 86400, 604800
 # transcript fixture: the first sync runs 50 h 2.5 min after the first
@@ -115,12 +117,16 @@ def q_session_rollup(spark, d):
     return session_rollup(load_usage(spark, d))
 
 
+# the widest chart shows nothing before this
+_CHARTS_SINCE = AS_OF - CHART_SLOTS * max(w for _, w in CHARTS) + 1
+
+
 def q_usage_series(spark, d):
-    return usage_series(load_usage(spark, d), AS_OF).select("range", "slot", "input", "output")
+    return usage_series(load_usage(spark, d, _CHARTS_SINCE), AS_OF).select("range", "slot", "input", "output")
 
 
 def q_series_scaled(spark, d):
-    return series_scaled(usage_series(load_usage(spark, d), AS_OF)).select(
+    return series_scaled(usage_series(load_usage(spark, d, _CHARTS_SINCE), AS_OF)).select(
         "range", "slot", "input", "output", "max", "dots_in", "dots_out")
 
 
@@ -211,6 +217,40 @@ def q_transcript_span(spark, d):
     return _sessions(spark, d).select("session", "first_ts", "last_ts")
 
 
+def _land_transcripts(spark, d) -> str:
+    """The transcript lines as ``<session>.jsonl`` files on the shared folder."""
+    root = scratch_dir(spark, "transcripts")
+    lines = load_lines(spark, d).drop("line_ts").withColumn("s", F.col("session"))
+    (lines.repartition("s").sortWithinPartitions("s", "pos").select("s", "value")
+     .write.partitionBy("s").text(root))
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(root).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    for folder in fs.listStatus(path(root)):        # fixture: one folder a session
+        name = folder.getPath().getName()
+        if name.startswith("s="):
+            part = [f.getPath() for f in fs.listStatus(folder.getPath()) if f.getPath().getName().startswith("part-")]
+            fs.rename(part[0], path(folder.getPath(), f"{name[2:]}.jsonl"))
+    return root
+
+
+def q_transcript_files(spark, d):
+    """File scan: sessions and line order come from the files."""
+    return transcript_sessions(read_transcripts(spark, _land_transcripts(spark, d)), AS_OF)
+
+
+def q_session_key(spark, d):
+    """Session names from file names; no content is read."""
+    return list_transcripts(spark, _land_transcripts(spark, d)).select("session")
+
+
+def q_create_if_missing(spark, d):
+    """A first sync into a store that isn't there."""
+    from tokentally.plans.sync import UsageStore
+    store = UsageStore.open(spark, scratch_dir(spark, "new-store"))
+    store.sync(load_lines(spark, d).drop("line_ts"), AS_OF)
+    return store.chats.read()
+
+
 def _backfilled_chats(spark, d):
     lines = load_lines(spark, d).drop("line_ts")
     return backfill_chats(lines, _empty(spark, CHATS), AS_OF)
@@ -337,6 +377,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "transcript_tokens": q_transcript_tokens,
     "transcript_model_title": q_transcript_model_title,
     "transcript_span": q_transcript_span,
+    "transcript_files": q_transcript_files,
+    "session_key": q_session_key,
+    "create_if_missing": q_create_if_missing,
     "backfill_import": q_backfill_import,
     "import_per_line": q_import_per_line,
     "incremental_sync": q_incremental_sync,

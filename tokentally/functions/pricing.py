@@ -73,23 +73,25 @@ def cost_cents(model, inp, out, cache_read, cache_write) -> Column:
     The metered tool divides with two decimals and truncates; every price is
     a whole number of cents per MTok, so cents = sum(tokens*price) div 1e6.
     Tokens are non-negative, so truncation is the floor.  NULL counts are 0.
+    Products are decimals, so no LONG of tokens overflows; cents fit LONG.
     """
     fam = model_family(model)
-    total = (z(inp) * price_of(fam, "input")
-             + z(out) * price_of(fam, "output")
-             + z(cache_read) * price_of(fam, "cache_read")
-             + z(cache_write) * price_of(fam, "cache_write"))
-    return idiv(total, 1000000)
+    return _cents(_priced(inp, fam, "input") + _priced(out, fam, "output")
+                  + _priced(cache_read, fam, "cache_read") + _priced(cache_write, fam, "cache_write"))
+
+
+def _priced(tokens, family: Column, kind: str) -> Column:
+    return z(tokens).cast("decimal(19,0)") * price_of(family, kind).cast("decimal(5,0)")
+
+
+def _cents(total: Column) -> Column:
+    return F.call_function("div", total, F.lit(1000000).cast("decimal(8,0)")).cast("long")
 
 
 def cost_cents_ex_cache(model, inp, out) -> Column:
     """Cost of input and output tokens only (the no-cache variant)."""
     fam = model_family(model)
-    return idiv(z(inp) * price_of(fam, "input") + z(out) * price_of(fam, "output"), 1000000)
-
-
-def cents_to_usd(c) -> Column:
-    return (col_(c).cast("double") / F.lit(100.0).cast("double"))
+    return _cents(_priced(inp, fam, "input") + _priced(out, fam, "output"))
 
 
 def join_prices(df: DataFrame, model_col: str = "model") -> DataFrame:

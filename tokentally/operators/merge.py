@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tokentally.functions.gauges import context_size
 from tokentally.functions.pricing import blank, z
-from tokentally.operators.joins import anti_join_small
+from tokentally.operators.joins import anti_join
 from tokentally.sources.schemas import CHAT_COLUMNS, TOKEN_COLUMNS
 
 CACHE_COLUMNS = ("cache_read", "cache_write")
@@ -20,7 +20,7 @@ CACHE_COLUMNS = ("cache_read", "cache_write")
 
 def replace_sessions(tokens: DataFrame, new: DataFrame) -> DataFrame:
     """Delete every fact row of the incoming sessions, insert the new rows."""
-    kept = anti_join_small(tokens.select(*TOKEN_COLUMNS), new.select("session"), "session")
+    kept = anti_join(tokens.select(*TOKEN_COLUMNS), new.select("session"), "session")
     return kept.unionByName(new.select(*TOKEN_COLUMNS))
 
 
@@ -57,15 +57,8 @@ def upsert_import(chats: DataFrame, new: DataFrame) -> DataFrame:
 def rollup_for_chats(usage: DataFrame) -> DataFrame:
     """Fact rows -> chats-shaped rows (title '', constant context size, the
     model of the latest row by (ts, id))."""
-    latest = F.struct("ts", "id")
-    return usage.groupBy("session").agg(
-        F.max_by("model", latest).alias("model"),
-        F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"),
-        F.sum(z("input")).cast("long").alias("total_input"),
-        F.sum(z("output")).cast("long").alias("total_output"),
-        F.sum(z("cache_read")).cast("long").alias("cache_read"),
-        F.sum(z("cache_write")).cast("long").alias("cache_write"),
-    ).select("session", F.lit("").alias("title"), "model", context_size().alias("ctx_size"),
+    from tokentally.operators.sessions import session_rollup
+    return session_rollup(usage).select("session", F.lit("").alias("title"), "model", context_size().alias("ctx_size"),
              "first_ts", "last_ts", "total_input", "total_output", "cache_read", "cache_write")
 
 

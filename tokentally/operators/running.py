@@ -18,33 +18,39 @@ from pyspark.sql.window import Window
 
 from tokentally.functions.pricing import cost_cents, idiv, z
 
+#: Stands for a missing stamp in the order of rows.
+NO_STAMP = -(1 << 40)
+
 SUMS = ("input", "output", "cache_read", "cache_write")
 
 
 def running_totals(usage: DataFrame, key: str = "session", sums=SUMS, chunk_s: int = 3600) -> DataFrame:
     """Adds ``run_<c>`` = sum of ``c`` over the key's rows up to and including
     this row in (ts, id) order."""
-    # explicit null filters: keys of the joins below are never NULL
-    u = (usage.filter(F.col(key).isNotNull() & F.col("ts").isNotNull())
-              .withColumn("_chunk", idiv(F.col("ts"), chunk_s)))
+    # rows without key are a group of their own; rows without stamp come first in their group
+    named, ts = key, "ts"
+    u = (usage.withColumn("_key", F.concat(F.when(F.col(named).isNull(), "n").otherwise("k"), F.coalesce(named, F.lit(""))))
+              .withColumn("_ts", F.coalesce(F.col(ts), F.lit(NO_STAMP)))
+              .withColumn("_chunk", idiv(F.col("_ts"), chunk_s)))
+    key, ts = "_key", "_ts"
     # offsets come from partial aggregates of column-pruned scans: what is
     # shuffled is one row per (key, second) and per (key, chunk), not facts
-    per_sec = u.groupBy(key, "_chunk", "ts").agg(*[F.sum(z(c)).alias(f"s_{c}") for c in sums])
+    per_sec = u.groupBy(key, "_chunk", ts).agg(*[F.sum(z(c)).alias(f"s_{c}") for c in sums])
     per_chunk = u.groupBy(key, "_chunk").agg(*[F.sum(z(c)).alias(f"h_{c}") for c in sums])
     before = Window.partitionBy(key).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     chunk_off = per_chunk.select(key, "_chunk", *[
         F.coalesce(F.sum(f"h_{c}").over(before), F.lit(0)).alias(f"oh_{c}") for c in sums])
-    before_s = Window.partitionBy(key, "_chunk").orderBy("ts").rowsBetween(Window.unboundedPreceding, -1)
-    sec_off = (per_sec.select(key, "_chunk", "ts", *[
+    before_s = Window.partitionBy(key, "_chunk").orderBy(ts).rowsBetween(Window.unboundedPreceding, -1)
+    sec_off = (per_sec.select(key, "_chunk", ts, *[
                    F.coalesce(F.sum(f"s_{c}").over(before_s), F.lit(0)).alias(f"os_{c}") for c in sums])
                .join(chunk_off, [key, "_chunk"])
-               .select(key, "ts", *[(F.col(f"oh_{c}") + F.col(f"os_{c}")).alias(f"off_{c}") for c in sums]))
+               .select(key, ts, *[(F.col(f"oh_{c}") + F.col(f"os_{c}")).alias(f"off_{c}") for c in sums]))
     # the only shuffle of whole rows: by (key, second), shared by the row
     # window and the join with the offsets
-    upto = Window.partitionBy(key, "ts").orderBy("id").rowsBetween(Window.unboundedPreceding, 0)
+    upto = Window.partitionBy(key, ts).orderBy("id").rowsBetween(Window.unboundedPreceding, 0)
     rows = u.drop("_chunk").select("*", *[F.sum(z(c)).over(upto).alias(f"r_{c}") for c in sums])
-    out = rows.join(sec_off, [key, "ts"])
-    keep = [c for c in rows.columns if not c.startswith("r_")]
+    out = rows.join(sec_off, [key, ts])
+    keep = usage.columns
     return out.select(*keep, *[(F.col(f"r_{c}") + F.col(f"off_{c}")).cast("long").alias(f"run_{c}") for c in sums])
 
 

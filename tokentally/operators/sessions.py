@@ -10,20 +10,37 @@ from tokentally.functions.formatting import duration_text, session_prefix, title
 from tokentally.functions.pricing import blank, cost_cents, model_family, z
 
 
+def arrival_key():
+    """(ts, id) as one decimal that sorts alike (missing values first).  Unlike a
+    struct or text it fits the buffers of hash aggregation."""
+    def whole(c, least):
+        return F.coalesce(F.col(c).cast("decimal(20,0)"), F.lit(str(least)).cast("decimal(20,0)"))
+    return (whole("ts", -(10 ** 14)) * F.lit(10 ** 17).cast("decimal(18,0)")).cast("decimal(38,0)") * F.lit(100).cast(
+        "decimal(3,0)") + whole("id", -(10 ** 19))
+
+
 def session_rollup(usage: DataFrame) -> DataFrame:
     """One row per session: count, first/last ts, four sums and the model of
-    the latest row by (ts, id).  Partial aggregation per task makes a hot
-    session cheap: the final step sees one buffer per task, not its rows."""
-    latest = F.struct("ts", "id")
-    return usage.groupBy("session").agg(
+    the latest row by (ts, id).
+
+    Two levels: facts are hash-aggregated by (session, model), the latest row
+    of each kept as a decimal key; the few models of a session then meet.  A
+    hot session costs one buffer per task and model, and no task sorts facts."""
+    by_model = usage.groupBy("session", "model").agg(
         F.count("*").alias("msgs"),
         F.min("ts").alias("first_ts"),
         F.max("ts").alias("last_ts"),
-        F.sum(z("input")).cast("long").alias("total_input"),
-        F.sum(z("output")).cast("long").alias("total_output"),
-        F.sum(z("cache_read")).cast("long").alias("cache_read"),
-        F.sum(z("cache_write")).cast("long").alias("cache_write"),
-        F.max_by("model", latest).alias("model"),
+        *[F.sum(z(c)).cast("long").alias(c) for c in ("input", "output", "cache_read", "cache_write")],
+        F.max(arrival_key()).alias("latest"))
+    return by_model.groupBy("session").agg(
+        F.sum("msgs").alias("msgs"),
+        F.min("first_ts").alias("first_ts"),
+        F.max("last_ts").alias("last_ts"),
+        F.sum("input").alias("total_input"),
+        F.sum("output").alias("total_output"),
+        F.sum("cache_read").alias("cache_read"),
+        F.sum("cache_write").alias("cache_write"),
+        F.max_by("model", "latest").alias("model"),
     )
 
 

@@ -234,17 +234,34 @@ FROM usage WHERE input > 0 OR output > 0"""
 LIVE_STATUS = W + f""",
 stored AS (SELECT session, sum(input) AS si, sum(output) AS so, sum(cache_read) AS scr, sum(cache_write) AS scw
            FROM usage WHERE ts < {AS_OF - DAY} GROUP BY session),
-ev AS (SELECT e.*, coalesce(s.si, 0) + e.input AS ti, coalesce(s.so, 0) + e.output AS tout,
-              coalesce(s.scr, 0) + e.cache_read AS tcr, coalesce(s.scw, 0) + e.cache_write AS tcw,
+run AS (SELECT *, CASE WHEN input > 0 OR output > 0 THEN 1 ELSE 0 END AS k,
+               coalesce(sum(CASE WHEN input > 0 OR output > 0 THEN input ELSE 0 END) OVER b, 0) AS ri,
+               coalesce(sum(CASE WHEN input > 0 OR output > 0 THEN output ELSE 0 END) OVER b, 0) AS ro,
+               coalesce(sum(CASE WHEN input > 0 OR output > 0 THEN cache_read ELSE 0 END) OVER b, 0) AS rcr,
+               coalesce(sum(CASE WHEN input > 0 OR output > 0 THEN cache_write ELSE 0 END) OVER b, 0) AS rcw
+        FROM usage WHERE ts >= {AS_OF - DAY}
+        WINDOW b AS (PARTITION BY session ORDER BY ts, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+hist AS (SELECT rn, [least(x * 7 // mi, 7) for x in li] AS il, [least(x * 7 // mo, 7) for x in lo] AS ol FROM (
+           SELECT row_number() OVER (ORDER BY ts, id) AS rn,
+                  greatest(1, max(input) OVER h) AS mi, greatest(1, max(output) OVER h) AS mo,
+                  list(input) OVER w AS li, list(output) OVER w AS lo
+           FROM usage WHERE input > 0 OR output > 0
+           WINDOW h AS (ORDER BY ts, id ROWS BETWEEN 49 PRECEDING AND CURRENT ROW),
+                  w AS (ORDER BY ts, id ROWS BETWEEN 29 PRECEDING AND CURRENT ROW)) t),
+place AS (SELECT id, sum(CASE WHEN input > 0 OR output > 0 THEN 1 ELSE 0 END)
+                       OVER (ORDER BY ts, id ROWS UNBOUNDED PRECEDING) AS p FROM usage),
+ev AS (SELECT e.*, coalesce(s.si, 0) + e.ri + e.input AS ti, coalesce(s.so, 0) + e.ro + e.output AS tout,
+              coalesce(s.scr, 0) + e.rcr + e.cache_read AS tcr, coalesce(s.scw, 0) + e.rcw + e.cache_write AS tcw,
               CAST(least((e.ctx_pct * 30 + 50) // 100, 30) AS BIGINT) AS f
-       FROM usage e LEFT JOIN stored s ON s.session = e.session
-       WHERE e.ts >= {AS_OF - DAY})
-SELECT id, session, model, CAST(ti AS BIGINT) AS session_input, CAST(tout AS BIGINT) AS session_output,
+       FROM run e LEFT JOIN stored s ON s.session = e.session)
+SELECT ev.id, session, model, CAST(ti AS BIGINT) AS session_input, CAST(tout AS BIGINT) AS session_output,
        CAST(tcr AS BIGINT) AS session_cache_read, CAST(tcw AS BIGINT) AS session_cache_write,
        {cents('ti', 'tout', 'tcr', 'tcw')} AS cost_cents, ctx_pct, f AS filled,
        CAST(least(f, 15) AS BIGINT) AS green, CAST(greatest(least(f, 22) - 15, 0) AS BIGINT) AS yellow,
-       CAST(greatest(f - 22, 0) AS BIGINT) AS red
-FROM ev JOIN price ON price.family = {fam('ev.model')}"""
+       CAST(greatest(f - 22, 0) AS BIGINT) AS red,
+       lpad(coalesce(array_to_string(il, ''), ''), 30, '0') AS in_bar,
+       lpad(coalesce(array_to_string(ol, ''), ''), 30, '0') AS out_bar
+FROM ev JOIN price ON price.family = {fam('ev.model')} JOIN place ON place.id = ev.id LEFT JOIN hist ON hist.rn = place.p"""
 
 UPSERT_ADDITIVE = W + """,
 firsts AS (SELECT session, model, ts FROM (
@@ -359,6 +376,9 @@ CHATS_SELECT = """SELECT session, title, model, CAST(200000 AS BIGINT) AS ctx_si
 CHATS = TS_ALL + f""",
 chats AS ({CHATS_SELECT} FROM ts_all WHERE {has_tokens()})"""
 
+TRANSCRIPT_FILES = TS_ALL + """
+SELECT session, input, output, cache_read, cache_write, model, title, first_ts, last_ts FROM ts_all"""
+SESSION_KEY = "SELECT DISTINCT 'c' || conv_id AS session FROM conversations"
 BACKFILL_IMPORT = CHATS + "\nSELECT * FROM chats"
 
 IMPORT_PER_LINE = TS_ALL + f"""
@@ -443,6 +463,9 @@ ORACLES = {
     "transcript_tokens": TRANSCRIPT_TOKENS,
     "transcript_model_title": TRANSCRIPT_MODEL_TITLE,
     "transcript_span": TRANSCRIPT_SPAN,
+    "transcript_files": TRANSCRIPT_FILES,
+    "session_key": SESSION_KEY,
+    "create_if_missing": BACKFILL_IMPORT,
     "backfill_import": BACKFILL_IMPORT,
     "import_per_line": IMPORT_PER_LINE,
     "incremental_sync": INCREMENTAL_SYNC,

@@ -96,9 +96,6 @@ def checkpoint_root(spark: SparkSession) -> str:
 
 
 def scratch_dir(spark: SparkSession, name: str) -> str:
-    """A new, unique sub-folder of the checkpoint root for one run."""
+    """A new, unique folder name below the checkpoint root (writers create it)."""
     root = checkpoint_root(spark)
-    path = os.path.join(root, f"{name}-{uuid.uuid4().hex[:12]}")
-    if path.startswith("/") or path.startswith("file:"):
-        os.makedirs(path.replace("file:", ""), exist_ok=True)
-    return path
+    return os.path.join(root, f"{name}-{uuid.uuid4().hex[:12]}")

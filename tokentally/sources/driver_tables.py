@@ -8,6 +8,7 @@ scale with the tables and keep parquet column pruning and filter pushdown.
 from __future__ import annotations
 
 import os
+from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -60,8 +61,13 @@ def usage_from_events(events: DataFrame) -> DataFrame:
     )
 
 
-def load_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return usage_from_events(table(spark, sf_dir, "events"))
+def load_usage(spark: SparkSession, sf_dir: str, since: int | None = None) -> DataFrame:
+    """The usage facts; ``since`` (epoch s) bounds the raw stamp column, so row groups before it are skipped."""
+    events = table(spark, sf_dir, "events")
+    if since is not None:
+        stamp = datetime.fromtimestamp(since, timezone.utc).strftime("%Y-%m-%d %H:%M:%S")
+        events = events.where(F.col("ts") >= F.lit(stamp).cast("timestamp_ntz"))
+    return usage_from_events(events)
 
 
 def transcript_lines_from_conversations(conv: DataFrame) -> DataFrame:

@@ -16,17 +16,38 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.utils import AnalysisException
 
+from tokentally.session import scratch_dir
 from tokentally.sources.literal import empty_table
 
 LOG_SCHEMA = T.StructType([
     T.StructField("version", T.LongType()),
     T.StructField("paths", T.ArrayType(T.StringType())),
     T.StructField("batch_id", T.LongType()),
+    T.StructField("stream", T.StringType()),
 ])
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path is there, on any file system that Spark reads; other errors rise."""
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = hadoop_path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    return fs.exists(hadoop_path)
+
+
+def stream_id(spark: SparkSession, checkpoint: str) -> str:
+    """The id that Spark gave the query of a checkpoint folder: a new checkpoint is a new stream,
+    whose batch numbers start again and must not be taken for those of an earlier one."""
+    return spark.read.text(f"{checkpoint}/metadata").select(F.get_json_object("value", "$.id")).first()[0]
+
+
+def materialized(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once below the shared checkpoint folder and read back."""
+    path = scratch_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 class SnapshotTable:
     """A table stored as immutable versions ``v-<n>-<id>`` under ``root``."""
 
@@ -38,6 +59,7 @@ class SnapshotTable:
         self.partition_by = partition_by or []
         self._cur: dict | None = None
         self._known = False
+        self._batches: dict[str, int] = {}
 
     @property
     def _log(self) -> str:
@@ -49,12 +71,14 @@ class SnapshotTable:
         first read and updated by ``write``."""
         if self._known and not refresh:
             return self._cur
-        try:
+        self._cur, self._batches = None, {}
+        if path_exists(self.spark, self._log):
             log = self.spark.read.schema(LOG_SCHEMA).json(self._log)
             top = log.orderBy(F.col("version").desc()).limit(1).collect()
             self._cur = top[0].asDict() if top else None
-        except AnalysisException:
-            self._cur = None
+            # one row a stream that ever wrote to the table
+            self._batches = {r["stream"]: r["b"] for r in log.where("batch_id is not null").groupBy(
+                F.coalesce("stream", F.lit("")).alias("stream")).agg(F.max("batch_id").alias("b")).collect()}
         self._known = True
         return self._cur
 
@@ -65,21 +89,20 @@ class SnapshotTable:
             return empty_table(self.spark, self.schema)
         return self.spark.read.schema(self.schema).parquet(*cur["paths"])
 
-    def write(self, df: DataFrame, batch_id: int | None = None) -> DataFrame:
+    def write(self, df: DataFrame, batch_id: int | None = None, stream: str = "") -> DataFrame:
         """Write ``df`` as the next version (replacing the table), log it."""
-        return self._commit(df, batch_id, keep=[])
+        return self._commit(df, batch_id, [], stream)
 
-    def append(self, df: DataFrame, batch_id: int | None = None, compact_at: int = 64) -> DataFrame:
-        """Next version = current files + ``df``'s new files (nothing is
-        rewritten); once ``compact_at`` file sets accumulate they are
-        rewritten as one."""
+    def append(self, df: DataFrame, batch_id: int | None = None, stream: str = "") -> DataFrame:
+        """Next version = current files + ``df``'s new files (nothing is rewritten)."""
         cur = self.current()
-        keep = [] if cur is None else list(cur["paths"])
-        if len(keep) + 1 > compact_at:
-            return self._commit(self.read().unionByName(df.select(self.read().columns)), batch_id, keep=[])
-        return self._commit(df, batch_id, keep=keep)
+        return self._commit(df, batch_id, [] if cur is None else list(cur["paths"]), stream)
 
-    def _commit(self, df: DataFrame, batch_id: int | None, keep: list[str]) -> DataFrame:
+    def compact(self) -> DataFrame:
+        """Maintenance: rewrite the current file sets as one."""
+        return self._commit(self.read(), None, [])
+
+    def _commit(self, df: DataFrame, batch_id: int | None, keep: list[str], stream: str = "") -> DataFrame:
         cur = self.current()
         n = 0 if cur is None else cur["version"] + 1
         path = f"{self.root}/v-{n:06d}-{uuid.uuid4().hex[:8]}"
@@ -91,12 +114,14 @@ class SnapshotTable:
         entry = self.spark.range(1).select(
             F.lit(n).cast("long").alias("version"),
             F.array(*[F.lit(p) for p in paths]).alias("paths"),
-            F.lit(batch_id).cast("long").alias("batch_id"))
+            F.lit(batch_id).cast("long").alias("batch_id"), F.lit(stream).alias("stream"))
         entry.write.mode("append").json(self._log)
-        self._cur, self._known = {"version": n, "paths": paths, "batch_id": batch_id}, True
+        self._cur, self._known = {"version": n, "paths": paths, "batch_id": batch_id, "stream": stream}, True
+        if batch_id is not None:
+            self._batches[stream] = max(batch_id, self._batches.get(stream, batch_id))
         return self.read()
 
-    def applied(self, batch_id: int) -> bool:
-        """True when a version already holds the effect of ``batch_id``."""
-        cur = self.current()
-        return cur is not None and cur.get("batch_id") is not None and cur["batch_id"] >= batch_id
+    def applied(self, batch_id: int, stream: str = "") -> bool:
+        """True when a version already holds the effect of ``batch_id`` of ``stream``."""
+        self.current()
+        return self._batches.get(stream, -1) >= batch_id

@@ -3,10 +3,12 @@
 Source: JSON lines, one live usage event per line, with the arrival stamp
 ``ts`` (epoch s) and an ``id`` added by the collector.  Every micro-batch is
 applied through ``foreachBatch`` with the batch functions of the library, and
-each effect is idempotent per ``batch_id`` so a replayed batch (after a lost
-executor or driver restart) changes nothing:
+each effect is idempotent per (stream, ``batch_id``), so a replayed batch
+(after a lost executor or driver restart) changes nothing, and a second stream
+(a new checkpoint) into the same sink adds to what is there.  Files that a new
+checkpoint reads again are new events to the sink:
 
-* facts   append-only table; batch <n> owns folder ``batch_id=<n>`` (overwritten on replay)
+* facts   append-only table; batch <n> of a stream owns folder ``stream=<id>/batch_id=<n>`` (overwritten on replay)
 * rollup  versioned snapshot (additive policy), skipped when already applied
 * ring    versioned snapshot of the last 50 pairs, skipped when applied
 """
@@ -27,7 +29,7 @@ from tokentally.operators.merge import keyed_delta, merge_keyed
 from tokentally.plans.live import live_rows
 from tokentally.sources.live import decode_records
 from tokentally.sources.schemas import CHATS, LIVE_EVENT, TOKENS
-from tokentally.sources.store import SnapshotTable
+from tokentally.sources.store import SnapshotTable, path_exists, stream_id
 
 ENVELOPE = T.StructType([T.StructField("id", T.LongType()), T.StructField("ts", T.LongType())]
                         + list(LIVE_EVENT.fields))
@@ -76,36 +78,35 @@ class LiveSink:
         return self.chats.read().select(*[f.name for f in CHATS.fields])
 
     def facts(self) -> DataFrame:
-        try:
-            schema = T.StructType(list(TOKENS.fields) + [T.StructField("dt", T.StringType()),
-                                                          T.StructField("batch_id", T.LongType())])
-            return self.spark.read.schema(schema).parquet(self.facts_path).select(
-                *[f.name for f in TOKENS.fields], "dt")
-        except Exception:  # noqa: BLE001 - no batch written yet
+        schema = T.StructType(list(TOKENS.fields) + [T.StructField("dt", T.StringType())])
+        if not path_exists(self.spark, self.facts_path):    # no batch written yet
             from tokentally.sources.literal import empty_table
-            return empty_table(self.spark, TOKENS)
+            return empty_table(self.spark, schema)
+        full = T.StructType(list(schema.fields) + [T.StructField("stream", T.StringType()),
+                                                   T.StructField("batch_id", T.LongType())])
+        return self.spark.read.schema(full).parquet(self.facts_path).select(*[f.name for f in schema.fields])
 
-    def apply(self, batch: DataFrame, batch_id: int) -> None:
+    def apply(self, batch: DataFrame, batch_id: int, stream: str = "0") -> None:
         # the decoded batch feeds three writes: parse the JSON once
         batch = batch.persist()
         try:
             rows = live_rows(batch, self.session, self.record).withColumn("dt", dt_of("ts"))
-            # each batch owns folder batch_id=<n> (dt partitions inside):
+            # each batch of a stream owns its folder (dt partitions inside):
             # a replay overwrites exactly that folder, nothing else is touched
             (rows.write.mode("overwrite").partitionBy("dt")
-                 .parquet(f"{self.facts_path}/batch_id={batch_id}"))
-            if not self.chats.applied(batch_id):
+                 .parquet(f"{self.facts_path}/stream={stream}/batch_id={batch_id}"))
+            if not self.chats.applied(batch_id, stream):
                 # order-independent additive merge: batches may arrive out of
                 # event-time order (files landed together, replays)
                 delta = keyed_delta(batch.filter((F.col("input") > 0) | (F.col("output") > 0))
                                     .withColumn("session", rows_session(self.session)))
                 if self.record:
-                    self.chats.write(merge_keyed(self.chats.read(), delta), batch_id)
-            if not self.ring.applied(batch_id):
+                    self.chats.write(merge_keyed(self.chats.read(), delta), batch_id, stream)
+            if not self.ring.applied(batch_id, stream):
                 old = self.ring.read().select("ts", "id", "input", "output")
                 # the ring follows every response with tokens, recorded or not
                 new = recorded(batch).select("ts", "id", "input", "output")
-                self.ring.write(history_last(old.unionByName(new), HISTORY_KEEP), batch_id)
+                self.ring.write(history_last(old.unionByName(new), HISTORY_KEEP), batch_id, stream)
         finally:
             batch.unpersist()
 
@@ -113,7 +114,10 @@ class LiveSink:
 def start_live_ingest(source: DataFrame, sink: LiveSink, checkpoint: str,
                       available_now: bool = True) -> StreamingQuery:
     """Run the ingest; ``available_now`` drains what is there and stops."""
-    w = source.writeStream.foreachBatch(sink.apply).option("checkpointLocation", checkpoint)
+    def apply(batch: DataFrame, batch_id: int) -> None:
+        sink.apply(batch, batch_id, stream_id(sink.spark, checkpoint))
+
+    w = source.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 second")
     return w.start()
 
@@ -131,10 +135,11 @@ def start_session_totals(source: DataFrame, root: str, checkpoint: str, session:
         *[F.sum(c).cast("long").alias(c) for c in ("input", "output", "cache_read", "cache_write")])
 
     def upsert(changed: DataFrame, batch_id: int) -> None:
-        if table.applied(batch_id):
+        stream = stream_id(source.sparkSession, checkpoint)
+        if table.applied(batch_id, stream):
             return
         kept = table.read().join(changed.select("session"), "session", "left_anti")
-        table.write(kept.unionByName(changed.select(*[f.name for f in totals_schema.fields])), batch_id)
+        table.write(kept.unionByName(changed.select(*[f.name for f in totals_schema.fields])), batch_id, stream)
 
     w = (agg.writeStream.outputMode("update").foreachBatch(upsert)
             .option("checkpointLocation", checkpoint))

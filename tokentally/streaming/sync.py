@@ -1,32 +1,27 @@
-"""Transcript sync as a file stream (T4): each run imports only new files.
+"""Transcript sync as a file stream (T4).
 
-The file source's checkpoint log is the ledger of files: a file already
-seen is never read again, even if it grew, exactly like the session ledger
-of the batch sync, which is applied as well (``UsageStore.sync``).
+New files start a micro-batch; what it imports are the files of all sessions
+that the ledger does not hold, as in the batch sync (``UsageStore.sync_folder``).
+So a session first seen without tokens is read again, whole, at a later batch,
+and synced files are not opened.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tokentally.constants import AGENT_FILE_PREFIX
 from tokentally.plans.sync import UsageStore
 from tokentally.sources.schemas import LINES
+from tokentally.sources.store import stream_id
+
+BINARY = "path string, modificationTime timestamp, length long, content binary"
 
 
 def transcript_stream(spark: SparkSession, path: str) -> DataFrame:
-    """New ``*.jsonl`` files under ``path`` as transcript lines (session,
-    blk, value); the within-split sequence is attached per micro-batch, as
-    row ids are not defined on a streaming plan."""
-    raw = (spark.readStream.option("recursiveFileLookup", "true")
-           .option("pathGlobFilter", "*.jsonl").text(path))
-    return raw.select(
-        F.regexp_replace(F.col("_metadata.file_name"), r"\.jsonl$", "").alias("session"),
-        F.col("_metadata.file_block_start").alias("blk"),
-        "value",
-    ).filter(~F.col("session").startswith(AGENT_FILE_PREFIX))
+    """Names of new ``*.jsonl`` files under ``path``; their content is read by the sync."""
+    return (spark.readStream.format("binaryFile").schema(BINARY).option("recursiveFileLookup", "true")
+            .option("pathGlobFilter", "*.jsonl").load(path).select("path"))
 
 
 def line_table_stream(spark: SparkSession, path: str) -> DataFrame:
@@ -35,13 +30,17 @@ def line_table_stream(spark: SparkSession, path: str) -> DataFrame:
     return spark.readStream.schema(LINES).parquet(path)
 
 
-def start_sync(lines: DataFrame, store: UsageStore, as_of: int, checkpoint: str,
+def start_sync(lines: DataFrame, store: UsageStore, as_of: int, checkpoint: str, path: str | None = None,
                available_now: bool = True) -> StreamingQuery:
+    """Run the sync: of a line table stream, or (``path``) of the folder whose new files ``lines`` reports."""
+    spark = lines.sparkSession
+
     def apply(batch: DataFrame, batch_id: int) -> None:
-        if "pos" not in batch.columns:
-            batch = batch.select("session", F.struct("blk", F.monotonically_increasing_id().alias("seq"))
-                                 .alias("pos"), "value")
-        store.sync(batch, as_of, batch_id)
+        stream = stream_id(spark, checkpoint)
+        if path is None:
+            store.sync(batch, as_of, batch_id, stream)
+        else:
+            store.sync_folder(path, as_of, batch_id, stream)
 
     w = lines.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
