@@ -129,7 +129,7 @@ def sentence_ids(docs: DataFrame) -> DataFrame:
     cut = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
            .where(F.col("text").rlike(ANCHORS))
            .select("doc_id", F.xxhash64("text").alias("th"),
-                   F.posexplode(F.split("text", r"(?<=[.!?:;])[ \t]+|\n+")).alias("place", "s"))
+                   F.posexplode(F.split("text", r"(?<![Ii]dentifier:)(?<=[.!?:;])[ \t]+|\n+")).alias("place", "s"))
            .where(F.col("s").rlike(ANCHORS))
            .select("doc_id", "th", "place", normal(F.col("s")).alias("sentence")))
     found = cut.join(F.broadcast(known), "sentence").select("doc_id", "th", "place", "id").distinct()
