@@ -383,7 +383,7 @@ def _first_pass(rule: Rule):
         for t in _grouped(batches, ["key", "block"]):
             if t.num_rows > 1:
                 nodes = t.column("node").to_numpy()
-                tokens = [np.frombuffer(x, np.uint64) for x in t.column("tokens").to_pylist()]
+                tokens = [np.frombuffer(x.as_buffer(), np.uint64) for x in t.column("tokens")]
                 found = list(block_links(nodes, tokens, rule))
                 if found:
                     yield _pairs(found)

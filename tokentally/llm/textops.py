@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 #: Text bytes handled at once by the numpy helpers.
 CHUNK_BYTES = 2 << 20
 #: Words hashed at once (bounds the temporaries for very long texts).
-SPAN_BLOCK = 1 << 18
+SPAN_BLOCK = 1 << 16
 
 #: White space of every contract: space and U+0009..U+000D.
 SPACE = np.zeros(256, dtype=bool)
