@@ -59,7 +59,7 @@ SAMPLE_DOCS, SAMPLE_LEAST, FREQUENT_MAX = 20_000, 4, 1_000_000
 #: Children of a signature tree node.
 FANOUT = 8
 #: Bits of a bitmap for each token (rounded up to a power of two).
-BITS_PER_TOKEN = 4
+BITS_PER_TOKEN = 3
 
 
 @dataclass(frozen=True)
@@ -396,7 +396,7 @@ def _second_pass(rule: Rule):
         for t in _grouped(batches, ["token", "low", "high"]):
             nodes, comp = t.column("node").to_numpy(), t.column("comp").to_numpy()
             sizes, side = t.column("n").to_numpy(), t.column("block").to_numpy()
-            maps = t.column("map").to_pylist()
+            maps, least, token = t.column("map").to_pylist(), t.column("least").to_numpy(), t.column("token")[0].as_py()
             lo, hi = t.column("low")[0].as_py(), t.column("high")[0].as_py()
             order = np.lexsort((sizes, comp))
             parts = []
@@ -424,7 +424,10 @@ def _second_pass(rule: Rule):
                         # the leaf bound on each side's missing bits
                         p, q = fa[0].maps[i], fb[0].maps[j]
                         need = rule.overlap(sizes[ra[i]], sizes[rb[j]])
-                        ok = ((sizes[ra[i]] - np.bitwise_count(p & ~q).sum(axis=1) >= need)
+                        # nodes with one least token meet under it, and are left to that meeting
+                        x_, y_ = least[ra[i]], least[rb[j]]
+                        ok = (x_ != y_) | (x_ == token)
+                        ok &= ((sizes[ra[i]] - np.bitwise_count(p & ~q).sum(axis=1) >= need)
                               & (sizes[rb[j]] - np.bitwise_count(q & ~p).sum(axis=1) >= need))
                         if ok.any():
                             yield _pairs(list(zip(nodes[ra[i[ok]]].tolist(), nodes[rb[j[ok]]].tolist())))
@@ -509,11 +512,14 @@ def jaccard_groups(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     open_ = labelled.groupBy("token").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 <> c2").select("token")
     k = F.ceil(F.col("df") / BLOCK).cast("int")
     block = F.pmod(F.xxhash64("node"), k).cast("int")
-    rows = (labelled.join(open_, "token").withColumn("block", block)
+    joined = labelled.join(open_, "token")
+    least = joined.groupBy("node").agg(F.min("token").alias("least"))
+    rows = (joined.withColumn("block", block)
             .withColumn("other", F.explode(F.sequence(F.lit(0), k - 1)))
             .select("token", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"),
                     "block", "node", "comp"))
-    maps = full.select("node", "tokens").mapInArrow(_maps, "node long, map binary").join(full.select("node", "n"), "node")
+    maps = (full.select("node", "tokens").mapInArrow(_maps, "node long, map binary").join(full.select("node", "n"), "node")
+            .join(least, "node"))
     pairs = (rows.join(maps, "node").repartition("token", "low", "high").sortWithinPartitions("token", "low", "high", "node")
              .mapInArrow(_second_pass(rule), "a long, b long").distinct())
     ta = full.select(F.col("node").alias("a"), F.col("tokens").alias("ta"))
