@@ -162,6 +162,17 @@ def test_lm_base_and_gain(spark, docs):
     assert sum(r["score"] for r in train) > sum(r["base_score"] for r in train)
 
 
+def test_lm_trains_on_every_run(spark, monkeypatch):
+    """A round takes all runs of all documents, also of a table of over 1.6 million words."""
+    steps = []
+    monkeypatch.setattr(op3_lm, "ROUNDS", 1)
+    monkeypatch.setattr(op3_lm, "averaged",
+                        lambda rows, like: steps.append(rows.where("chunk = 0").agg({"weight": "sum"}).first()[0]) or like)
+    docs = spark.createDataFrame([(i, "a b c d e f g h i j " * 1000) for i in range(162)], "doc_id long, text string")
+    op3_lm.train(docs.coalesce(1), op3_lm.default_ranks())
+    assert steps == [162_000 / op3_lm.STEP_RUNS]
+
+
 # ---- 4 Jaccard --------------------------------------------------------------------------------
 
 def brute_components(rows, k, num, den):
