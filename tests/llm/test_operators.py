@@ -170,7 +170,22 @@ def test_lm_trains_on_every_run(spark, monkeypatch):
                         lambda rows, like: steps.append(rows.where("chunk = 0").agg({"weight": "sum"}).first()[0]) or like)
     docs = spark.createDataFrame([(i, "a b c d e f g h i j " * 1000) for i in range(162)], "doc_id long, text string")
     op3_lm.train(docs.coalesce(1), op3_lm.default_ranks())
-    assert steps == [162_000 / op3_lm.STEP_RUNS]
+    windows = 162 * -(-10_001 // attention.WINDOW)          # each word is a subword, and the end
+    assert len(steps) == 1 and abs(steps[0] - windows / op3_lm.STEP_WINDOWS) <= 4     # a step may join two chunks' rests
+
+
+def test_lm_windows_have_each_subword_as_target_once():
+    path = op3_lm.default_ranks()
+    enc = op3_lm.rank_encoder(path)
+    tree = attention.build_tree(np.ones(enc.vocab_size + 1, np.int64), np.append(enc.begins, True))
+    texts = ["qzxvkj" * 60 + " " + " ".join(f"zq{i}xv{i * 7919}" for i in range(25)), "", "one two", None, "a " * 200]
+    tokens, target, valid = op3_lm.runs(path, tree, *column(texts))
+    seq, seq_off, *_ = op3_lm.sequences(path, *column(texts))
+    leaf = tree.leaf_of[seq]
+    assert target[valid].tolist() == leaf.tolist()
+    begins = np.zeros(len(seq), bool)
+    begins[seq_off[:-1]] = True
+    assert tokens[valid].tolist() == np.where(begins, len(tree.depth), np.roll(leaf, 1)).tolist()
 
 
 # ---- 4 Jaccard --------------------------------------------------------------------------------
