@@ -104,6 +104,38 @@ def test_toxicity_without_labels():
     assert (1 / (1 + np.exp(-x @ model.weights)) < 0.5).all()
 
 
+def test_toxicity_threshold_above_and_below_the_bound():
+    """Fitted on samples of both classes with their true numbers, the scores keep the level of the whole fit."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice(["ka", "to", "mi", "re", "su", "no", "vel", "dar"]) for _ in range(rng.randint(2, 4)))
+
+    def text(times):
+        w = [word() for _ in range(60)]
+        for _ in range(times):
+            w.insert(rng.randrange(len(w)), rng.choice(["grumblox", "snarfwit", "zorkhead"]))
+        return " ".join(w)
+
+    toxic = [text(rng.choice([0, 1, 1, 2])) for _ in range(200)]
+    clean = [text(int(rng.random() < 0.02)) for _ in range(1800)]
+    score = {}
+    for n in (1800, 200):                                       # 9 : 1 as they are, and 1 : 1
+        model = op2_toxicity.fit(pa.array(toxic), pa.array(clean[:n]), (200, 1800))
+        x = op2_toxicity.evidence(op2_toxicity.Gaps(model), *column(toxic + clean))
+        score[n] = 1 / (1 + np.exp(-x @ model.weights))
+    assert abs(score[1800].mean() - 0.1) < 0.02 and abs(score[200].mean() - 0.1) < 0.03, score
+
+
+def test_toxicity_counts_both_classes_beyond_the_bound(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(op2_toxicity, "fit", lambda toxic, ordinary, known: seen.append((len(toxic), len(ordinary), known)))
+    d = spark.createDataFrame([(i, "t" if i % 50 else None) for i in range(400)], "doc_id long, text string")
+    known = spark.createDataFrame([(i, int(i % 10 == 1)) for i in range(450)], "doc_id long, toxic int")
+    op2_toxicity.train(d, known, 20)
+    kept = [i for i in range(400) if i % 50 and zlib.crc32(str(i).encode()) % 5]
+    true = sum(i % 10 == 1 for i in kept)
+    assert seen == [(20, 20, (true, len(kept) - true))]
+
+
 # ---- 3 language model -------------------------------------------------------------------------
 
 def test_attention_gradient_and_total_probability():

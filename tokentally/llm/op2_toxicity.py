@@ -10,8 +10,9 @@ document's evidence are its numbers of windows at each gap, and a logistic
 model calibrated on labelled documents turns them into a score.
 
 The classifier is fitted on at most ``SAMPLE`` labelled documents a class (the
-documented bound, chosen by a hash of the id); every document's whole text is
-scored.  Windows are compressed once per distinct word and worker, in a bounded cache.
+documented bound, chosen by a hash of the id) that are weighted by the true
+numbers of both classes, so the 0.5 cut means the same above and below the
+bound; every document's whole text is scored.  Windows are compressed once per distinct word and worker, in a bounded cache.
 
 Defined cases: null or empty text has no windows and gets the score of no
 evidence; null ids and ids without label never teach; conflicting labels of an
@@ -140,14 +141,14 @@ def evidence(gaps: Gaps, raw: np.ndarray, off: np.ndarray) -> np.ndarray:
     return np.column_stack([np.ones(n), np.log1p(counts[:, 1:]), np.log1p(words)])
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.3, steps: int = 30) -> np.ndarray:
-    """Weights of a ridge logistic model by Newton steps."""
+def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.3, steps: int = 30) -> np.ndarray:
+    """Weights of a ridge logistic model by Newton steps; ``weight`` counts each row so many times."""
     w = np.zeros(x.shape[1])
     penalty = ridge * np.eye(x.shape[1])
     penalty[0, 0] = 1e-6
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + penalty, x.T @ (y - p) - penalty @ w)
+        step = np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + penalty, x.T @ (weight * (y - p)) - penalty @ w)
         w += step
         if np.abs(step).max() < 1e-8:
             break
@@ -193,8 +194,14 @@ def _contexts(texts: pa.Array, windows: int | None, rng):
     return keys, counts, len(first), [spelled[k] for k in keys.tolist()] if windows is None else [], plain
 
 
-def fit(toxic: pa.Array, ordinary: pa.Array) -> Model:
-    """Dictionaries and calibration from labelled texts."""
+def class_weights(sampled: tuple[int, int], known: tuple[int, int]) -> tuple[float, float]:
+    """Weights of the sampled toxic and ordinary documents: the classes' true shares, as many documents in all."""
+    (a, b), (ka, kb) = sampled, known
+    return (a + b) * ka / (ka + kb) / a, (a + b) * kb / (ka + kb) / b
+
+
+def fit(toxic: pa.Array, ordinary: pa.Array, known: tuple[int, int] | None = None) -> Model:
+    """Dictionaries and calibration from labelled texts; ``known`` are the true numbers of both classes."""
     blank = Model(b"", True, b"", True, np.array([-30.0] + [0.0] * (MAX_GAP + 1)))
     if not toxic or not ordinary:
         return blank
@@ -214,6 +221,8 @@ def fit(toxic: pa.Array, ordinary: pa.Array) -> Model:
     if not samples:
         return blank
     y = np.r_[np.ones(len(toxic)), np.zeros(len(ordinary))]
+    sampled = (len(toxic), len(ordinary))
+    weight = np.where(y == 1, *class_weights(sampled, known or sampled))
     ordinary_dictionary = _dictionary(ORDINARY_BYTES, plain)
     keys, spelled = _spelled(pa.chunked_array([toxic, ordinary]))
     lengths = _lengths(ordinary_dictionary, spelled)
@@ -225,8 +234,8 @@ def fit(toxic: pa.Array, ordinary: pa.Array) -> Model:
         gaps.gaps = np.clip(lengths - _lengths((model.toxic, model.toxic_raw), spelled), 0, MAX_GAP).astype(np.int8)
         x = np.concatenate([evidence(gaps, *textops.utf8(batch.column("t"))) for texts in (toxic, ordinary)
                             for batch in textops.chunks([pa.record_batch({"t": texts})], "t")])
-        model.weights = logistic(x, y)
-        loss = float(np.logaddexp(0, -(2 * y - 1) * (x @ model.weights)).sum())
+        model.weights = logistic(x, y, weight)
+        loss = float((weight * np.logaddexp(0, -(2 * y - 1) * (x @ model.weights))).sum())
         if best is None or loss < best[0]:
             best = (loss, model)
     return best[1]
@@ -256,11 +265,13 @@ def held_out(doc_id):
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """Fit on the labelled documents outside the held-out fold, at most ``sample`` of each class."""
+    """Fit on the labelled documents outside the held-out fold, at most ``sample`` of each class, at their true shares."""
     known = (labels.where("doc_id is not null and toxic in (0, 1)")
              .select(F.col("doc_id").cast("long").alias("label_id"), F.col("toxic").cast("int").alias("toxic"))
              .where(~held_out(F.col("label_id"))).groupBy("label_id").agg(F.max("toxic").alias("toxic"))
-             .join(docs.select(F.col("doc_id").cast("long").alias("label_id")).distinct(), "label_id", "left_semi"))
+             .join(docs.where("text is not null").select(F.col("doc_id").cast("long").alias("label_id")).distinct(),
+                   "label_id", "left_semi"))
+    numbers = known.agg(F.coalesce(F.sum("toxic"), F.lit(0)), F.coalesce(F.sum(1 - F.col("toxic")), F.lit(0))).first()
     order = F.xxhash64(F.lit(11), "label_id")
     chosen = (known.where("toxic = 1").orderBy(order).limit(sample)
               .unionByName(known.where("toxic = 0").orderBy(order).limit(sample)))
@@ -269,7 +280,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
             .where("text is not null").join(F.broadcast(chosen), "label_id")
             .groupBy("label_id", "toxic").agg(F.min("text").alias("text")).orderBy("label_id").toArrow())
     texts, toxic = rows.column("text").combine_chunks(), rows.column("toxic").to_numpy()
-    return fit(texts.filter(pa.array(toxic == 1)), texts.filter(pa.array(toxic == 0)))
+    return fit(texts.filter(pa.array(toxic == 1)), texts.filter(pa.array(toxic == 0)), (numbers[0], numbers[1]))
 
 
 def score_texts(docs: DataFrame, model: Model, name: str = "score", keep: list[str] | None = None) -> DataFrame:
