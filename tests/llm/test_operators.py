@@ -447,6 +447,71 @@ def test_licences(spark):
     assert got == {1: ["MIT"], 2: [], 3: ["MIT"], 4: ["CC-BY-NC-4.0", "GPL-3.0-only"], None: ["Apache-2.0"]}
 
 
+MIT_WRAPPED = """MIT License
+
+Copyright (c) 2020 Some One
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS BE LIABLE."""
+BSD_WRAPPED = """Copyright (c) 2020, Some One
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met
+
+{0} Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer
+{1} Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+ENDORSE = """{2} Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+APACHE_WRAPPED = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at"""
+ISC_WRAPPED = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies."""
+UNLICENSE_WRAPPED = """This is free and unencumbered software released into the public
+domain."""
+MPL_WRAPPED = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy"""
+
+
+def test_licences_wrapped_and_commented(spark):
+    marks = {"plain": "", "slash": "// ", "hash": "# ", "star": " * ", "dash": "-- ", "dnl": "dnl "}
+    texts = {"MIT": MIT_WRAPPED, "Apache-2.0": APACHE_WRAPPED, "ISC": ISC_WRAPPED, "Unlicense": UNLICENSE_WRAPPED,
+             "MPL-2.0": MPL_WRAPPED, "BSD-2-Clause": BSD_WRAPPED.format("1.", "2."),
+             "BSD-3-Clause": (BSD_WRAPPED + ENDORSE).format("(a)", "(b)", "(c)")}
+    docs, want = [], {}
+    for name, text in texts.items():
+        for mark in marks.values():
+            for end in ("\n", "\r\n"):
+                body = end.join((mark + line).rstrip() for line in text.split("\n"))
+                docs.append((len(docs), f"x = 1{end}{end}/*{end}{body}{end}{end}*/"))
+                want[len(docs) - 1] = [name]
+    docs.append((len(docs), "Released under the MIT License\nCopyright 2020 Some One\nSPDX-License-Identifier: ISC\nmore"))
+    want[len(docs) - 1] = ["ISC", "MIT"]
+    got = {r["doc_id"]: r["licences"] for r in op8_licenses.licences(
+        spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == want
+
+
 # ---- 9 token files ----------------------------------------------------------------------------
 
 @given(st.lists(st.integers(0, 2**31 - 1), max_size=60), st.integers(1, 31))

@@ -1,8 +1,9 @@
 """Licence scans by sentence rules.
 
-Texts are cut into sentences (line ends, and sentence marks before white
-space), sentences are normalised and looked up among known licence sentences,
-and the sequence of sentence identifiers of a document is matched against
+Texts are cut into sentences (at sentence marks before white space or a line
+end, blank lines and list items), so hard-wrapped lines are joined, also behind
+comment marks; each line of a wrapped sentence is a candidate too.  Sentences
+are normalised and looked up among known licence sentences, and the sequence of sentence identifiers of a document is matched against
 ordered rules.  A rule holds if its identifiers occur in its order; a rule that
 is part of a longer rule that also holds is not reported.
 
@@ -114,7 +115,7 @@ def rules() -> list[tuple[str, str, str]]:
 
 
 #: Words of which every known sentence holds one; texts without them have no known sentence.
-ANCHORS = "(?i)licen[sc]e|permi|redistribut|warrant|public domain|waived|copyright|reserved|compliance|permission"
+ANCHORS = r"(?i)licen[sc]e|permi|redistribut|warrant|public\W+domain|unencumbered|waived|copyright|reserved|compliance|permission"
 
 
 def normal(col):
@@ -122,16 +123,39 @@ def normal(col):
     return F.trim(F.regexp_replace(F.lower(col), r"[^\p{L}\p{N}]+", " "))
 
 
+#: End of a sentence, while a text is cut.
+_END = "\x01"
+#: Steps of cutting (pattern, replacement); line ends that are left are within a sentence.  Comment marks are lines'
+#: leading punctuation, which ``normal`` drops; those made of letters go here.
+_CUTS = (
+    (r"\r\n?", "\n"),
+    (r"\n[ \t]*+(?:dnl|rem|REM)(?=[ \t\n])", "\n"),
+    (r"\n(?=[^\p{L}\p{N}\n]*+\n)", _END),                                             # a blank line
+    (r"(?:^|(?<=[\n\x01]))[^\p{L}\p{N}\n\x01(]*+\(?(?:\d{1,2}[.)]|[a-zA-Z]\)|[ivx]{2,4}\))(?=[ \t])", _END),
+    (r"\n(?=[ \t]*+(?:(?://+|#+|;+|\*|%+)[ \t]++[-+*\u2022]|[-+\u2022])[ \t])", _END),
+    (r"(?<![Ii]dentifier:)(?<![^\p{L}][vV]\.)(?<=[.!?:;])(?:[ \t]*+\n|[ \t]+)", _END),
+)
+
+
 def sentence_ids(docs: DataFrame) -> DataFrame:
     """(doc_id, th, ids, places): the known sentences of each document that has some, in text order."""
     spark = docs.sparkSession
     known = spark.createDataFrame(sentences(), "sentence string, id string")
+    text = F.translate("text", _END, " ")
+    for pattern, to in _CUTS:
+        text = F.regexp_replace(text, F.lit(pattern), F.lit(to))
+    lines = F.split("whole", r"\n")
+    # a sentence, and its lines if it has several
     cut = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
            .where(F.col("text").rlike(ANCHORS))
-           .select("doc_id", F.xxhash64("text").alias("th"),
-                   F.posexplode(F.split("text", r"(?<![Ii]dentifier:)(?<=[.!?:;])[ \t]+|\n+")).alias("place", "s"))
+           .select("doc_id", F.xxhash64("text").alias("th"), F.posexplode(F.split(text, _END)).alias("number", "whole"))
+           .where(F.col("whole").rlike(ANCHORS))
+           .select("doc_id", "th", "number", F.posexplode(F.concat(
+               F.array("whole"), F.when(F.size(lines) > 1, lines).otherwise(F.expr("cast(array() as array<string>)"))))
+               .alias("line", "s"))
            .where(F.col("s").rlike(ANCHORS))
-           .select("doc_id", "th", "place", normal(F.col("s")).alias("sentence")))
+           .select("doc_id", "th", (F.col("number").cast("long") * (1 << 32) + F.greatest(F.col("line") - 1, F.lit(0)))
+                   .alias("place"), normal(F.col("s")).alias("sentence")))
     found = cut.join(F.broadcast(known), "sentence").select("doc_id", "th", "place", "id").distinct()
     return (found.groupBy("doc_id", "th").agg(F.sort_array(F.collect_list(F.struct("place", "id"))).alias("s"))
             .select("doc_id", "th", F.col("s.id").alias("ids"), F.col("s.place").alias("places")))
