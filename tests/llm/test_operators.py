@@ -62,6 +62,23 @@ def test_html_text():
     assert op1_html.extract("plain words", None)[0] == "plain words"
 
 
+@pytest.mark.parametrize("attributes, hides", [
+    ('class="post overflow-hidden"', False), ('title="a hidden place"', False), ("data-x='hidden'", False),
+    ('data-style="display:none"', False), ('style="overflow:hidden"', False), ('aria-hidden="false"', False),
+    ('hidden="false"', False), ("data-hidden", False), ('title="a" hidden', True), ("HIDDEN=''", True), ('hidden="hidden"', True),
+    ('style="color:red; display : none"', True), ("style='visibility:hidden'", True), ("aria-hidden=true", True)])
+def test_html_hidden_is_an_attribute(attributes, hides):
+    page = f"<body><div><p>Seen words.</p><div {attributes}><p>Words in question.</p></div></div></body>"
+    assert ("Words in question." in op1_html.extract(page, None)[0]) != hides
+
+
+@pytest.mark.parametrize("tag", ["svg-icon", "object-view", "title-bar", "template-x", "style.x", "script:x", "form_x"])
+def test_html_tags_that_begin_like_junk(tag):
+    text, _ = op1_html.extract(f"<body><div><p>One.</p><{tag} name='a'></{tag}><p>Two.</p></div></body>", None)
+    assert text == "One.\nTwo."
+    assert op1_html.extract("<body><div><p>One.</p><svg\nid=a><text>x</text></svg><p>Two.</p></div></body>", None)[0] == "One.\nTwo."
+
+
 def test_html_host_consensus(spark):
     shared = "<html><body><div class='post-{i}'><p>{t}</p></div><div class='box'><p>{b}</p></div></body></html>"
     pages = [(i, f"http://h.example/{i}", shared.format(i=i, t="article words, many of them. " * 9, b="short")) for i in range(6)]

@@ -42,11 +42,14 @@ VOTE = 1_000_000
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|$)"
-    r"|<(script|style|noscript|template|textarea|svg|iframe|object|title)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|$)"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
+    r"|<(script|style|noscript|template|textarea|svg|iframe|object|title)(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|$)"
+    r"|<(/?)([a-zA-Z][^\s/>\"'<]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
     r"|<[!?][^>]*>", re.S | re.I)
 _ATTRIBUTE = re.compile(r"([\w:-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
-_HIDDEN = re.compile(r"(?i)\bhidden\b(?!\s*=\s*[\"']?false)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true")
+#: Attributes with or without a value.
+_ANY = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?|\"[^\"]*\"|'[^']*'")
+_HIDDEN = re.compile(r"(?i)hidden|display")
+_UNSEEN = re.compile(r"(?i)display\s*:\s*none|visibility\s*:\s*hidden")
 _DIGITS = re.compile(r"\d+")
 _PARTS = re.compile(r"[^a-z]+")
 
@@ -77,12 +80,24 @@ class Node:
     blocks: list = field(default_factory=list)
 
 
+def _hidden(attributes: str) -> bool:
+    """Whether an attribute hides its element; words in other attributes' values don't."""
+    if not _HIDDEN.search(attributes):
+        return False
+    for name, a, b, c in _ANY.findall(attributes):
+        name, value = name.lower(), (a or b or c).strip().lower()
+        if (name == "hidden" and value != "false" or name == "aria-hidden" and value == "true"
+                or name == "style" and _UNSEEN.search(value)):
+            return True
+    return False
+
+
 def _junk(tag: str, attributes: str, names: dict[str, str], parent: Node) -> bool:
     if tag in _JUNK_TAGS or (tag == "header" and parent.owner is None):
         return True
     if not attributes or tag in ("html", "body"):
         return False
-    if _HIDDEN.search(attributes):
+    if _hidden(attributes):
         return True
     for name in " ".join(names.get(k, "") for k in ("class", "id", "role")).lower().split():
         parts = set(_PARTS.split(name))
