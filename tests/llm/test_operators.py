@@ -286,6 +286,15 @@ def test_jaccard_matches_brute_force(spark, monkeypatch, seed, block):
         sorted(brute_components(rows, 4, 85, 100))
 
 
+def test_jaccard_null_ids_dont_name_components(spark):
+    words = [f"w{i}" for i in range(40)]
+    text, near, other = " ".join(words), " ".join(words + ["x"]), "some other words that stand alone"
+    rows = [(None, text), (5, text), (9, near), (None, near), (None, other), (7, other), (None, "only here and null for all")]
+    got = op4_jaccard.jaccard_groups(spark.createDataFrame(rows, "doc_id long, text string"), op4_jaccard.Rule(4, 85, 100))
+    assert Counter((r["doc_id"], r["component_id"]) for r in got.collect()) == \
+        {(None, 5): 2, (5, 5): 1, (9, 5): 1, (None, 7): 1, (7, 7): 1, (None, None): 1}
+
+
 def test_block_links_span_all_links():
     rng = random.Random(9)
     rows = [(i, t) for i, t in near_copies(rng, 12, 14)]

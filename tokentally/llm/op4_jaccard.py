@@ -469,7 +469,7 @@ def jaccard_groups(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     sets = materialize(docs.mapInArrow(_sets(rule, frequent), "doc_id long, th long, n long, node long, prefix array<long>"),
                        "jaccard-sets")
     classes = sets.where("n > 0").groupBy("node").agg(
-        F.min(F.struct("doc_id", "th")).alias("rep"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+        F.min(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "th")).alias("rep"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
     # prefix tokens that two nodes share; counts and rows come from one exchange
     index = (classes.select("node", "n", F.explode("prefix").alias("token"))
              .repartition(F.col("token")))
