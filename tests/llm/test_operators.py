@@ -403,6 +403,21 @@ def test_kneser_ney_sums_to_one_and_prefers_its_language(spark):
     assert own[0] < own[1]
 
 
+@pytest.mark.parametrize("min_share", [op6_perplexity.MIN_SHARE, 0.002, 0.02])
+def test_kneser_ney_sums_to_one_after_the_cut(spark, min_share):
+    """What n-grams left to back-off had is covered by their context's weight."""
+    rng = random.Random(4)
+    text = " ".join("th" + "".join(rng.choice("aaaabcde") for _ in range(rng.randint(2, 5))) for _ in range(600))
+    d = spark.createDataFrame([(1, "en", text)], "doc_id long, lang string, text string")
+    grams = op6_perplexity.count_grams(d).cache()
+    model = op6_perplexity.Model.load(op6_perplexity.estimate(grams, min_share=min_share))
+    whole = op6_perplexity.Model.load(op6_perplexity.estimate(grams, min_share=0))
+    for context in (b"\0\0 t", b"\0 th", b" tha", b"thaa", b"aaaa", b"haab", b"\0\0\0 "):
+        grams_ = (int.from_bytes(context, "big") << 8) + np.arange(256)
+        total, all_ = np.exp2(model.log2(grams_)).sum(), np.exp2(whole.log2(grams_)).sum()
+        assert math.isclose(total, all_, abs_tol=0.01) and total > 0.98, (context, total, all_)
+
+
 def test_perplexity_bands_reject_junk_and_keep_prose(spark):
     rows = [(r["doc_id"], r["kept"], r["base_failed"], r["n_symbols"], r["n_words"])
             for r in op6_perplexity.op6_perplexity(spark, "/root/testdata/sf0.01").collect()]
