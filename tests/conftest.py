@@ -6,8 +6,6 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-AS_OF = 1706659200
-
 
 @pytest.fixture(scope="session")
 def spark():
@@ -29,10 +27,3 @@ def spark():
 @pytest.fixture
 def tmp_dir():
     return tempfile.mkdtemp(prefix="tokentally-test-")
-
-
-def usage_df(spark, rows):
-    """rows: (id, ts, session, input, output, cache_read, cache_write, model)."""
-    from tokentally.sources.schemas import TOKENS
-    full = [(i, ts, s, inp, out, cr, cw, 0, m) for (i, ts, s, inp, out, cr, cw, m) in rows]
-    return spark.createDataFrame(full, TOKENS)

@@ -5,7 +5,7 @@ import tempfile
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import AS_OF
+from core_helpers import AS_OF
 from tokentally.operators.sessions import session_rollup
 from tokentally.plans.dashboard import dashboard
 from tokentally.sources.driver_tables import load_usage

@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from conftest import AS_OF, usage_df
+from core_helpers import AS_OF, usage_df
 from tokentally.operators.history import history_last, sparkline_levels
 from tokentally.operators.running import running_totals
 from tokentally.plans.live import live_rows

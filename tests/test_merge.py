@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from conftest import AS_OF, usage_df
+from core_helpers import AS_OF, usage_df
 from tokentally.operators.merge import (evolve_schema, replace_sessions, rollup_for_chats, upsert_additive,
                                         upsert_import, upsert_monotone)
 from tokentally.plans.sync import UsageStore

@@ -5,7 +5,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from conftest import AS_OF, usage_df
+from core_helpers import AS_OF, usage_df
 from tokentally.operators.periods import period_summary, period_summary_per_period_scans
 from tokentally.operators.running import running_totals
 

@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from conftest import AS_OF, usage_df
+from core_helpers import AS_OF, usage_df
 from tokentally.operators.periods import period_summary, period_summary_per_period_scans
 from tokentally.operators.series import series_scaled, usage_series
 from tokentally.operators.sessions import cost_by_family, session_rollup, top_sessions

@@ -3,7 +3,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from conftest import AS_OF, usage_df
+from core_helpers import AS_OF, usage_df
 from tokentally.operators.merge import upsert_additive
 from tokentally.plans.live import live_rows
 from tokentally.plans.sync import UsageStore
