@@ -1,7 +1,6 @@
 """Every document operator on nulls, empty and very long texts, repeats, empty tables and clashing names."""
 
 import pytest
-from conftest import *  # noqa: F401,F403
 from pyspark.sql import functions as F
 
 import corpus_pipeline
