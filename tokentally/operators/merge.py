@@ -2,7 +2,9 @@
 
 Parquet tables have no MERGE, so every upsert is a full outer join of the
 existing snapshot with the incoming rows on ``session`` (both sides hold one
-row per session, so the join cannot skew), written as a new version.
+row per session, so the join cannot skew), written as a new version.  The
+missing session is a session like any other: keys meet null-safely, and which
+side a row comes from is told by a flag of its own, never by a null key.
 """
 
 from __future__ import annotations
@@ -25,9 +27,15 @@ def replace_sessions(tokens: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def _outer(old: DataFrame, new: DataFrame) -> DataFrame:
-    o = old.select([F.col(c).alias(f"o_{c}") for c in CHAT_COLUMNS])
-    n = new.select([F.col(c).alias(f"n_{c}") for c in new.columns])
-    return o.join(n, o["o_session"] == n["n_session"], "full_outer")
+    """Rows of both sides by session (``<=>`` stays an equi-join), with ``o_here`` and ``n_here``."""
+    o = old.select([F.col(c).alias(f"o_{c}") for c in old.columns] + [F.lit(True).alias("o_here")])
+    n = new.select([F.col(c).alias(f"n_{c}") for c in new.columns] + [F.lit(True).alias("n_here")])
+    return o.join(n, o["o_session"].eqNullSafe(n["n_session"]), "full_outer")
+
+
+def _sides() -> tuple[Column, Column]:
+    """Whether the new and the old side hold the row."""
+    return F.col("n_here").isNotNull(), F.col("o_here").isNotNull()
 
 
 def _pick(has_new: Column, has_old: Column, on_conflict: Column, new: Column, old: Column) -> Column:
@@ -38,8 +46,8 @@ def upsert_import(chats: DataFrame, new: DataFrame) -> DataFrame:
     """Import policy: title/model take the new value if non-blank, else keep
     the old; first_ts = min; last_ts = max; four totals overwritten; ctx_size
     kept on conflict."""
-    j = _outer(chats, new)
-    hn, ho = F.col("n_session").isNotNull(), F.col("o_session").isNotNull()
+    j = _outer(chats.select(*CHAT_COLUMNS), new)
+    hn, ho = _sides()
     nb = lambda c: F.when(~blank(f"n_{c}"), F.col(f"n_{c}")).otherwise(F.col(f"o_{c}"))
     cols = {
         "session": F.coalesce("n_session", "o_session"),
@@ -65,8 +73,8 @@ def rollup_for_chats(usage: DataFrame) -> DataFrame:
 def upsert_monotone(chats: DataFrame, rollup: DataFrame) -> DataFrame:
     """Rollup-from-facts policy: model keeps the old one unless blank; first_ts
     = min; last_ts and four totals = max(old, new); title and ctx_size kept."""
-    j = _outer(chats, rollup)
-    hn, ho = F.col("n_session").isNotNull(), F.col("o_session").isNotNull()
+    j = _outer(chats.select(*CHAT_COLUMNS), rollup)
+    hn, ho = _sides()
     old_model = F.when(~blank("o_model"), F.col("o_model")).otherwise(F.col("n_model"))
     cols = {
         "session": F.coalesce("n_session", "o_session"),
@@ -107,8 +115,8 @@ def upsert_additive(chats: DataFrame, events: DataFrame) -> DataFrame:
     if "ctx_size" not in events.columns:
         events = events.withColumn("ctx_size", context_size())
     d = live_delta(events)
-    j = _outer(chats, d)
-    hn, ho = F.col("n_session").isNotNull(), F.col("o_session").isNotNull()
+    j = _outer(chats.select(*CHAT_COLUMNS), d)
+    hn, ho = _sides()
     new_model = F.coalesce("n_last_model", "n_first_model")
     new_ctx = F.coalesce("n_last_ctx", "n_first_ctx")
     cols = {
@@ -168,10 +176,8 @@ def keyed_delta(events: DataFrame) -> DataFrame:
 
 def merge_keyed(old: DataFrame, new: DataFrame) -> DataFrame:
     """Merge two keyed rollups (commutative, associative)."""
-    o = old.select([F.col(c).alias(f"o_{c}") for c in old.columns])
-    n = new.select([F.col(c).alias(f"n_{c}") for c in new.columns])
-    j = o.join(n, o["o_session"] == n["n_session"], "full_outer")
-    hn, ho = F.col("n_session").isNotNull(), F.col("o_session").isNotNull()
+    j = _outer(old, new)
+    hn, ho = _sides()
 
     def later(key: str) -> Column:      # new side decides `key`
         return F.col(f"n_{key}").isNotNull() & (F.col(f"o_{key}").isNull() | (F.col(f"n_{key}") > F.col(f"o_{key}")))
@@ -189,7 +195,8 @@ def merge_keyed(old: DataFrame, new: DataFrame) -> DataFrame:
         "title": F.coalesce("o_title", "n_title"),
         "model": _pick(hn, ho, model, F.col("n_model"), F.col("o_model")),
         "ctx_size": _pick(hn, ho, ctx, F.col("n_ctx_size"), F.col("o_ctx_size")),
-        "first_ts": F.least("o_first_ts", "n_first_ts"),
+        "first_ts": _pick(hn, ho, F.when(first_new, F.col("n_first_ts")).otherwise(F.col("o_first_ts")),
+                          F.col("n_first_ts"), F.col("o_first_ts")),
         "last_ts": _pick(hn, ho, by("k_last", "last_ts"), F.col("n_last_ts"), F.col("o_last_ts")),
         "k_first": F.least("o_k_first", "n_k_first"),
         "k_last": F.greatest("o_k_last", "n_k_last"),

@@ -1,13 +1,12 @@
-"""Running per-session totals including the current row, without putting a
-whole session into one task.
+"""Running totals per key, including the current row, for keys of any size.
 
-A window partitioned by session alone would sort a hot session (say a third
-of all rows) in one task.  Instead the prefix sum is built in three levels,
-each window bounded by time, not by data volume:
-  hour offsets   window over (session) ordered by hour  -> rows = hours spanned
-  second offsets window over (session, hour) by second  -> at most 3600 rows
-  row sums       window over (session, second) by id    -> rows of one second
-The first two run on pre-aggregated rows; only the last touches the facts.
+A window partitioned by the key would sort a hot key (say a third of all rows)
+in one task, however its rows are spread over time.  Here the rows are split by
+range on (key, order): a hot key, even one whose rows share a second or have no
+stamp, takes as many parts as its rows fill.  Each part's totals by key are
+few rows (keys plus parts); their running sums give what comes before a part.
+They join their part as its first row, so the running sum inside the part
+carries them along and no join of whole rows is needed.
 """
 
 from __future__ import annotations
@@ -16,42 +15,45 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tokentally.functions.pricing import cost_cents, idiv, z
-
-#: Stands for a missing stamp in the order of rows.
-NO_STAMP = -(1 << 40)
+from tokentally.functions.pricing import cost_cents, z
+from tokentally.sources.store import materialized
 
 SUMS = ("input", "output", "cache_read", "cache_write")
 
 
-def running_totals(usage: DataFrame, key: str = "session", sums=SUMS, chunk_s: int = 3600) -> DataFrame:
+def range_sums(df: DataFrame, key: str, order: list[str], sums: tuple[str, ...], totals: bool = False) -> DataFrame:
+    """Adds ``run_<c>`` = sum of ``c`` over the key's rows up to and including this row in the given
+    order (missing values first), and with ``totals`` also ``all_<c>``, the key's whole sum.
+
+    A missing key is a key like any other.  Rows equal in key and order come in any order among
+    themselves; only such rows cannot be split.  The rows are written once, split by range, so the split
+    is the same for everything that reads it, and after a lost executor; a task handles one part.
+    """
+    spark, columns = df.sparkSession, df.columns
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    split = materialized(df.repartitionByRange(n, key, *order).withColumn("_part", F.spark_partition_id()), "range-sums")
+    part_sums = split.groupBy("_part", key).agg(*[F.sum(z(c)).alias(f"_s_{c}") for c in sums])
+    parts = Window.partitionBy(key).orderBy("_part")        # at most one row a part
+    before = parts.rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(key)
+    heads = part_sums.select(
+        "_part", key, F.lit(0).alias("_row"), *[F.coalesce(F.sum(f"_s_{c}").over(before), F.lit(0)).alias(f"_v_{c}") for c in sums],
+        *([F.sum(f"_s_{c}").over(whole).alias(f"_t_{c}") for c in sums] if totals else []))
+    rows = split.select("*", F.lit(1).alias("_row"), *[z(c).alias(f"_v_{c}") for c in sums])
+    dealt = rows.unionByName(heads, allowMissingColumns=True).repartitionById(n, F.col("_part"))
+    upto = (Window.partitionBy("_part", key).orderBy("_row", *order)
+            .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    run = dealt.select(
+        *columns, "_row", *[F.sum(f"_v_{c}").over(upto).alias(f"run_{c}") for c in sums],
+        *([F.first(f"_t_{c}").over(upto).alias(f"all_{c}") for c in sums] if totals else []))
+    return run.where("_row = 1").drop("_row")
+
+
+def running_totals(usage: DataFrame, key: str = "session", sums: tuple[str, ...] = SUMS) -> DataFrame:
     """Adds ``run_<c>`` = sum of ``c`` over the key's rows up to and including
-    this row in (ts, id) order."""
-    # rows without key are a group of their own; rows without stamp come first in their group
-    named, ts = key, "ts"
-    u = (usage.withColumn("_key", F.concat(F.when(F.col(named).isNull(), "n").otherwise("k"), F.coalesce(named, F.lit(""))))
-              .withColumn("_ts", F.coalesce(F.col(ts), F.lit(NO_STAMP)))
-              .withColumn("_chunk", idiv(F.col("_ts"), chunk_s)))
-    key, ts = "_key", "_ts"
-    # offsets come from partial aggregates of column-pruned scans: what is
-    # shuffled is one row per (key, second) and per (key, chunk), not facts
-    per_sec = u.groupBy(key, "_chunk", ts).agg(*[F.sum(z(c)).alias(f"s_{c}") for c in sums])
-    per_chunk = u.groupBy(key, "_chunk").agg(*[F.sum(z(c)).alias(f"h_{c}") for c in sums])
-    before = Window.partitionBy(key).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    chunk_off = per_chunk.select(key, "_chunk", *[
-        F.coalesce(F.sum(f"h_{c}").over(before), F.lit(0)).alias(f"oh_{c}") for c in sums])
-    before_s = Window.partitionBy(key, "_chunk").orderBy(ts).rowsBetween(Window.unboundedPreceding, -1)
-    sec_off = (per_sec.select(key, "_chunk", ts, *[
-                   F.coalesce(F.sum(f"s_{c}").over(before_s), F.lit(0)).alias(f"os_{c}") for c in sums])
-               .join(chunk_off, [key, "_chunk"])
-               .select(key, ts, *[(F.col(f"oh_{c}") + F.col(f"os_{c}")).alias(f"off_{c}") for c in sums]))
-    # the only shuffle of whole rows: by (key, second), shared by the row
-    # window and the join with the offsets
-    upto = Window.partitionBy(key, ts).orderBy("id").rowsBetween(Window.unboundedPreceding, 0)
-    rows = u.drop("_chunk").select("*", *[F.sum(z(c)).over(upto).alias(f"r_{c}") for c in sums])
-    out = rows.join(sec_off, [key, ts])
-    keep = usage.columns
-    return out.select(*keep, *[(F.col(f"r_{c}") + F.col(f"off_{c}")).cast("long").alias(f"run_{c}") for c in sums])
+    this row in (ts, id) order; rows without a stamp come first in their group."""
+    out = range_sums(usage, key, ["ts", "id"], sums)
+    return out.select(*usage.columns, *[F.col(f"run_{c}").cast("long").alias(f"run_{c}") for c in sums])
 
 
 def session_running_cost(usage: DataFrame) -> DataFrame:

@@ -56,7 +56,8 @@ def live_status(tokens: DataFrame, events: DataFrame, width: int = 30) -> DataFr
         *[F.when(is_recorded, z(c)).otherwise(0).cast("long").alias(f"m_{c}") for c in SUMS])
     ev = running_totals(ev, "session", tuple(f"m_{c}" for c in SUMS))
     ev = running_totals(ev, "one", ("n",)).withColumnRenamed("run_n", "p")
-    j = ev.join(stored, "session", "left").join(history_bars(tokens, ev, width), "p", "left")
+    stored = stored.withColumnRenamed("session", "s_session")
+    j = ev.join(stored, ev["session"].eqNullSafe(stored["s_session"]), "left").join(history_bars(tokens, ev, width), "p", "left")
     tot = {c: z(f"s_{c}") + F.col(f"run_m_{c}") - F.col(f"m_{c}") + z(c) for c in SUMS}
     filled = bar_filled("ctx_pct", width)
     g, y, r = bar_zones(filled, width)

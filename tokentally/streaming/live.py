@@ -24,6 +24,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tokentally.constants import HISTORY_KEEP
 from tokentally.operators.history import history_last, recorded
+from tokentally.operators.joins import anti_join
 from tokentally.operators.pruning import dt_of
 from tokentally.operators.merge import keyed_delta, merge_keyed
 from tokentally.plans.live import live_rows
@@ -138,7 +139,7 @@ def start_session_totals(source: DataFrame, root: str, checkpoint: str, session:
         stream = stream_id(source.sparkSession, checkpoint)
         if table.applied(batch_id, stream):
             return
-        kept = table.read().join(changed.select("session"), "session", "left_anti")
+        kept = anti_join(table.read(), changed, "session")
         table.write(kept.unionByName(changed.select(*[f.name for f in totals_schema.fields])), batch_id, stream)
 
     w = (agg.writeStream.outputMode("update").foreachBatch(upsert)
