@@ -207,3 +207,21 @@ def merge_keyed(old: DataFrame, new: DataFrame) -> DataFrame:
         cols[c] = z(f"o_{c}") + z(f"n_{c}")
     order = CHAT_COLUMNS + list(LIVE_KEYS)
     return j.select([cols[c].alias(c) for c in order])
+
+
+def fold_keyed(rows: DataFrame) -> DataFrame:
+    """Any number of keyed rows a session -> one, as merging them pair by pair
+    with ``merge_keyed``; partial sums in every task, so a hot session is as
+    cheap as any."""
+    g = rows.groupBy("session").agg(
+        F.first("title", ignorenulls=True).alias("title"),
+        F.max_by("model", "k_model").alias("m_last"), F.min_by("model", "k_first").alias("m_first"),
+        F.max_by("ctx_size", "k_ctx").alias("c_last"), F.min_by("ctx_size", "k_first").alias("c_first"),
+        F.min_by("first_ts", "k_first").alias("first_ts"), F.max_by("last_ts", "k_last").alias("last_ts"),
+        *[F.sum(z(c)).cast("long").alias(c) for c in ("total_input", "total_output", "cache_read", "cache_write")],
+        F.min("k_first").alias("k_first"), F.max("k_last").alias("k_last"),
+        F.max("k_model").alias("k_model"), F.max("k_ctx").alias("k_ctx"))
+    # rows without a deciding event hold their first event's value
+    g = (g.withColumn("model", F.when(F.col("k_model").isNotNull(), F.col("m_last")).otherwise(F.col("m_first")))
+          .withColumn("ctx_size", F.when(F.col("k_ctx").isNotNull(), F.col("c_last")).otherwise(F.col("c_first"))))
+    return g.select(*CHAT_COLUMNS, *LIVE_KEYS)

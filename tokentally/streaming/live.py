@@ -9,7 +9,7 @@ each effect is idempotent per (stream, ``batch_id``), so a replayed batch
 checkpoint reads again are new events to the sink:
 
 * facts   append-only table; batch <n> of a stream owns folder ``stream=<id>/batch_id=<n>`` (overwritten on replay)
-* rollup  versioned snapshot (additive policy), skipped when already applied
+* rollup  runs of per-session deltas (additive policy, ``streaming.rollup``), skipped when already applied
 * ring    versioned snapshot of the last 50 pairs, skipped when applied
 """
 
@@ -26,11 +26,12 @@ from tokentally.constants import HISTORY_KEEP
 from tokentally.operators.history import history_last, recorded
 from tokentally.operators.joins import anti_join
 from tokentally.operators.pruning import dt_of
-from tokentally.operators.merge import keyed_delta, merge_keyed
+from tokentally.operators.merge import keyed_delta
 from tokentally.plans.live import live_rows
 from tokentally.sources.live import decode_records
 from tokentally.sources.schemas import CHATS, LIVE_EVENT, TOKENS
 from tokentally.sources.store import SnapshotTable, path_exists, stream_id
+from tokentally.streaming.rollup import RollupRuns
 
 ENVELOPE = T.StructType([T.StructField("id", T.LongType()), T.StructField("ts", T.LongType())]
                         + list(LIVE_EVENT.fields))
@@ -71,12 +72,12 @@ class LiveSink:
 
     def __post_init__(self):
         self.facts_path = f"{self.root}/tokens_live"
-        self.chats = SnapshotTable(self.spark, f"{self.root}/chats", LIVE_CHATS)
+        self.chats = RollupRuns(self.spark, f"{self.root}/chats", LIVE_CHATS)
         self.ring = SnapshotTable(self.spark, f"{self.root}/history", RING)
 
     def rollup(self) -> DataFrame:
         """The live per-session rollup in the chats schema."""
-        return self.chats.read().select(*[f.name for f in CHATS.fields])
+        return self.chats.rollup()
 
     def facts(self) -> DataFrame:
         schema = T.StructType(list(TOKENS.fields) + [T.StructField("dt", T.StringType())])
@@ -96,13 +97,12 @@ class LiveSink:
             # a replay overwrites exactly that folder, nothing else is touched
             (rows.write.mode("overwrite").partitionBy("dt")
                  .parquet(f"{self.facts_path}/stream={stream}/batch_id={batch_id}"))
-            if not self.chats.applied(batch_id, stream):
+            if self.record:
                 # order-independent additive merge: batches may arrive out of
                 # event-time order (files landed together, replays)
                 delta = keyed_delta(batch.filter((F.col("input") > 0) | (F.col("output") > 0))
                                     .withColumn("session", rows_session(self.session)))
-                if self.record:
-                    self.chats.write(merge_keyed(self.chats.read(), delta), batch_id, stream)
+                self.chats.add(delta, batch_id, stream)
             if not self.ring.applied(batch_id, stream):
                 old = self.ring.read().select("ts", "id", "input", "output")
                 # the ring follows every response with tokens, recorded or not
