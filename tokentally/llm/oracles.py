@@ -2,4 +2,18 @@
 
 from __future__ import annotations
 
-ORACLES: dict[str, str] = {}
+#: Bare upper-case base32 of a hexadecimal SHA-1 ``d``: five hexadecimal digits are four signs.
+_BASE32 = " || ".join(
+    f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(d, {5 * i + 1}, 5))::BIGINT >> {s}) & 31)::INT + 1, 1)"
+    for i in range(8) for s in (15, 10, 5, 0))
+
+OP13 = f"""
+with p as (select page_id, strlen(coalesce(html, '')) as payload_bytes, sha1(coalesce(html, '')) as d from pages),
+r as (select *, row_number() over (partition by d order by page_id nulls last) as nth,
+             first_value(page_id) over (partition by d order by page_id nulls last) as best from p)
+select page_id, payload_bytes, {_BASE32} as payload_digest,
+       case when nth = 1 then 'response' else 'revisit' end as record_type, case when nth > 1 then best end as refers_to
+from r
+"""
+
+ORACLES: dict[str, str] = {"op13_warc": OP13}
