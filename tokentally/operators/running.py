@@ -11,11 +11,11 @@ carries them along and no join of whole rows is needed.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tokentally.functions.pricing import cost_cents, z
+from tokentally.functions.pricing import cost_cents
 from tokentally.sources.store import materialized
 
 SUMS = ("input", "output", "cache_read", "cache_write")
@@ -30,6 +30,11 @@ def range_sums(df: DataFrame, key: str, order: list[str], sums: tuple[str, ...],
     is the same for everything that reads it, and after a lost executor; a task handles one part.
     """
     spark, columns = df.sparkSession, df.columns
+    kind = dict(df.dtypes)
+
+    def z(c: str) -> Column:                # in the column's own type: a decimal stays one
+        return F.coalesce(F.col(c), F.lit(0).cast(kind[c]))
+
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     split = materialized(df.repartitionByRange(n, key, *order).withColumn("_part", F.spark_partition_id()), "range-sums")
     part_sums = split.groupBy("_part", key).agg(*[F.sum(z(c)).alias(f"_s_{c}") for c in sums])
