@@ -16,4 +16,37 @@ select page_id, payload_bytes, {_BASE32} as payload_digest,
 from r
 """
 
-ORACLES: dict[str, str] = {"op13_warc": OP13}
+#: CRC-32 of the decimal digits of ``c``, bit by bit.
+_CRC = """xor(4294967295, list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(
+    range(1, length(c::VARCHAR) + 1), lambda i: [512 + ascii(substr(c::VARCHAR, i::INT, 1)), 0, 0, 0, 0, 0, 0, 0, 0]))),
+    lambda a, x: CASE WHEN x >= 512 THEN xor(a, x - 512) ELSE xor(a >> 1, 3988292384 * (a & 1)) END))"""
+
+OP12 = f"""
+with named as (select conv_id as c, turn, length(coalesce(text, ''))::BIGINT as n,
+        sha256(length(coalesce(role, ''))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, '')) as name
+    from conversations where conv_id is not null),
+t as (select c, n, name, row_number() over (partition by c order by turn nulls first, name) as pos from named),
+ids as (select c, max(pos) as own from t group by c),
+h as (select c, own, c - c % 100 as donor, {_CRC} % 6 as h from ids),
+k as (select h.c, h.own, h.h, h.donor, least(h.h, coalesce(d.own, 0)) as k from h left join ids d on d.c = h.donor),
+turns as (select k.c, t.pos, t.name, t.n from k join t on t.c = k.donor and t.pos <= k.k
+          union all select k.c, t.pos - k.h + k.k, t.name, t.n from k join t on t.c = k.c and t.pos > k.h),
+lists as (select c, list(name order by pos) as names, list(n order by pos) as ns from turns group by c),
+convs as (select k.c, coalesce(names, []) as names, coalesce(ns, []) as ns from k left join lists using (c)),
+steps as (select c, names, ns, unnest(range(0, len(names) + 1)) as d from convs),
+members as (select c, d, md5(names[1:d]::VARCHAR) as key, case when d > 0 then md5(names[1:d - 1]::VARCHAR) end as parent,
+                   case when d > 0 then ns[d] else 0 end as n, len(names) = d as ends from steps),
+nodes as (select key, d, min(parent) as parent, min(c) as conv_id, count(*) as n_convs, max(n) as n,
+                 sha256(coalesce(string_agg(c::VARCHAR, ',' order by c) filter (where ends), '')) as ends_sha256
+          from members group by key, d),
+kids as (select parent, count(*) as n_children from nodes where parent is not null group by parent),
+weighed as (select nodes.*, coalesce(n_children, 0) as n_children, up.conv_id as parent_conv_id
+            from nodes left join kids on kids.parent = nodes.key and nodes.d >= 0 left join nodes up on up.key = nodes.parent and up.d = nodes.d - 1),
+sums as (select m.key, m.d, sum(case when w.n_children = 0 then 1 else 0 end) as n_leaves, sum((w.n_convs - 1) * w.n) as saved
+         from weighed w join members m on m.c = w.conv_id and m.d <= w.d group by m.key, m.d)
+select conv_id, d::BIGINT as depth, parent_conv_id, n_convs::BIGINT as n_convs, n_children::BIGINT as n_children,
+       n_leaves::BIGINT as n_leaves, saved::BIGINT as saved_tokens, ends_sha256
+from weighed join sums using (key, d)
+"""
+
+ORACLES: dict[str, str] = {"op12_trie": OP12, "op13_warc": OP13}
