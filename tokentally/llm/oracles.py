@@ -49,4 +49,31 @@ select conv_id, d::BIGINT as depth, parent_conv_id, n_convs::BIGINT as n_convs,
 from weighed join sums using (key, d)
 """
 
-ORACLES: dict[str, str] = {"op12_trie": OP12, "op13_warc": OP13}
+OP11 = r"""
+with d as (select row_number() over () as id, coalesce(lang, '') as lang, coalesce(source, '') as source,
+                  coalesce(text, '') as text from documents),
+w as (select id, lang, source, unnest(regexp_extract_all(
+        translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) as term from d),
+kept as (select lang, term from w group by lang, term having count(distinct id) >= 3),
+v as (select lang, count(*) as v from kept group by lang),
+c as (select lang, source, term, count(*) as n from w semi join kept using (lang, term) group by lang, source, term),
+g as (select lang, source, coalesce(sum(n), 0)::HUGEINT as total, any_value(coalesce(v, 0)) as v
+      from (select distinct lang, source from d) left join c using (lang, source) left join v using (lang) group by lang, source),
+p as (select g.lang, g.source, kept.term, coalesce(n, 0) as n, 1 + 1000000000::HUGEINT * (coalesce(n, 0) + 1) // (total + v) as p
+      from g join kept using (lang) left join c using (lang, source, term)),
+q as (select lang, term, 1 + 1000000000::HUGEINT * (lang_n + 1) // (sum(lang_n) over (partition by lang) + count(*) over (partition by lang)) as q
+      from (select lang, term, sum(n)::HUGEINT as lang_n from c group by lang, term)),
+pairs as (select a.lang, a.source, 'pair' as part, b.source as item, coalesce(x.value, 0) as value
+          from g a join g b on a.lang = b.lang and a.source <> b.source
+          left join (select a.lang, a.source, b.source as item, sum((a.p - b.p) * (a.p - b.p) // b.p) as value
+                     from p a join p b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all) x
+          on x.lang = a.lang and x.source = a.source and x.item = b.source),
+terms as (select lang, source, 'term' as part, term as item, (p - q) * (p - q) // q as value
+          from p join q using (lang, term) where n > 0 and p > q),
+both_parts as (select * from pairs union all select * from terms)
+select lang, source, part, item, value::BIGINT as value, r::INT as rank
+from (select *, row_number() over (partition by lang, source, part order by value desc, item) as r from both_parts)
+where part = 'pair' or r <= 200
+"""
+
+ORACLES: dict[str, str] = {"op11_divergence": OP11, "op12_trie": OP12, "op13_warc": OP13}

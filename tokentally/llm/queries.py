@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from tokentally.llm.op1_html import op1_html
 from tokentally.llm.op10_quotes import op10_quotes
+from tokentally.llm.op11_divergence import op11_divergence
 from tokentally.llm.op12_trie import op12_trie
 from tokentally.llm.op13_warc import op13_warc
 from tokentally.llm.op2_toxicity import op2_toxicity
@@ -27,6 +28,7 @@ QUERIES = {
     "op8_licenses": op8_licenses,
     "op9_token_file": op9_token_file,
     "op10_quotes": op10_quotes,
+    "op11_divergence": op11_divergence,
     "op12_trie": op12_trie,
     "op13_warc": op13_warc,
 }
