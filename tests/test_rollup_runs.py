@@ -69,3 +69,26 @@ def test_fold_equals_pairwise_merge(spark):
     for p in parts[1:]:
         union = union.unionByName(p)
     assert rows_of(fold_keyed(union)) == rows_of(pairwise)
+
+
+def test_session_rings_equal_the_batch_form_in_any_order(spark):
+    from tokentally.operators.history import history_last
+    from tokentally.streaming.live import live_source, start_session_rings
+    from tokentally.sources.live import decode_events, encode_enveloped, encode_events
+    rows = [(i, 1706659200 - 40 * ((i * 37) % 900), "x", i % 5, i % 3, 0, 0, "m") for i in range(1, 900)]
+    u = usage_df(spark, rows)
+    src, ckpt = scratch_dir(spark, "t-rings-src"), scratch_dir(spark, "t-rings-ckpt")
+    root = scratch_dir(spark, "t-rings")
+    for n in (2, 0, 1):                                    # files out of time order, in two runs of the stream
+        encode_enveloped(u.where(F.col("id") % 3 == n)).coalesce(1).write.mode("append").text(src)
+        if n != 2:
+            q = start_session_rings(live_source(spark, src, max_files=1), root, ckpt)
+            q.awaitTermination()
+    from tokentally.plans.live import live_rows
+    want = history_last(live_rows(decode_events(encode_events(u))), 50, key="session")
+    names = ["session", "pos", "ts", "id", "input", "output"]
+    assert rows_of(q.table.rings().select(*names)) == rows_of(want.select(*names))
+    assert q.table.rings().groupBy("session").count().agg(F.max("count")).first()[0] == 50
+    one = q.table.read().where("session is not null").limit(40)
+    q.table.add(one, 0, q.table.current()["stream"])      # a replay
+    assert rows_of(q.table.rings().select(*names)) == rows_of(want.select(*names))

@@ -26,15 +26,18 @@ from tokentally.operators.periods import period_cost, period_summary
 from tokentally.operators.running import session_running_cost
 from tokentally.operators.series import series_scaled, usage_series
 from tokentally.operators.sessions import (chat_count, chat_list, cost_by_family, import_cost_by_family,
-                                           import_summary, session_rollup, top_sessions)
+                                           import_summary, session_rollup, top_sessions, top_sessions_by_day)
 from tokentally.plans.live import live_rows
 from tokentally.plans.sync import backfill_chats, backfill_import, incremental_sync
 from tokentally.sources.driver_tables import TRANSCRIPT_BASE, load_lines, load_usage
 from tokentally.session import scratch_dir
+from tokentally.sources.days import DayTable
 from tokentally.sources.literal import empty_table
 from tokentally.sources.live import decode_events, encode_events
 from tokentally.sources.schemas import CHATS, LEDGER, TOKENS
+from tokentally.sources.store import materialized
 from tokentally.sources.transcripts import list_transcripts, read_transcripts
+from tokentally.streaming.rollup import UsageSummary
 
 DAY, WEEK = 86400, 604800
 # transcript fixture: the first sync runs 50 h 2.5 min after the first
@@ -42,6 +45,8 @@ DAY, WEEK = 86400, 604800
 SYNC_T1 = TRANSCRIPT_BASE + 50 * 3600 + 150
 CONTEXT_BAR_WIDTH = 30
 SPARK_WIDTH = 30
+# files of one range of names of the import
+IMPORT_RANGE = 500
 
 
 def _empty(spark: SparkSession, schema) -> DataFrame:
@@ -171,13 +176,17 @@ def q_upsert_additive(spark, d):
 
 
 # ---------------------------------------------------------------- merges
+def _recent_rows(u: DataFrame) -> DataFrame:
+    """One fact row a session of the last day."""
+    recent = rollup_for_chats(u.filter(F.col("ts") >= AS_OF - DAY))
+    return recent.select(F.lit(None).cast("long").alias("id"), F.col("last_ts").alias("ts"), "session",
+                         F.col("total_input").alias("input"), F.col("total_output").alias("output"),
+                         "cache_read", "cache_write", F.lit(0).cast("long").alias("ctx_pct"), "model")
+
+
 def q_replace_by_session(spark, d):
     u = load_usage(spark, d)
-    recent = rollup_for_chats(u.filter(F.col("ts") >= AS_OF - DAY))
-    new = recent.select(F.lit(None).cast("long").alias("id"), F.col("last_ts").alias("ts"), "session",
-                        F.col("total_input").alias("input"), F.col("total_output").alias("output"),
-                        "cache_read", "cache_write", F.lit(0).cast("long").alias("ctx_pct"), "model")
-    return replace_sessions(u, new)
+    return replace_sessions(u, _recent_rows(u))
 
 
 def q_upsert_import(spark, d):
@@ -200,6 +209,52 @@ def q_schema_evolve(spark, d):
     return evolve_schema(old, new)
 
 
+def _without_some_names(spark, d):
+    """The facts with the sessions of every fourth user nameless."""
+    u = load_usage(spark, d)
+    return u.withColumn("session", F.when(F.substring("session", 2, 20).cast("long") % 4 != 0, F.col("session")))
+
+
+def q_upsert_nameless(spark, d):
+    """The three upserts over facts of which a part has no session: it keeps its sums, in one row."""
+    u = _without_some_names(spark, d)
+    old, late = u.filter(F.col("ts") < AS_OF - WEEK), u.filter(F.col("ts") >= AS_OF - WEEK)
+    overlap = fixture_chats(u.filter(F.col("ts") >= AS_OF - 2 * WEEK))
+    done = {"import": upsert_import(fixture_chats(old), overlap),
+            "monotone": upsert_monotone(fixture_chats(old), rollup_for_chats(u)),
+            "additive": upsert_additive(upsert_additive(_empty(spark, CHATS), old), late)}
+    rows = [df.withColumn("policy", F.lit(policy)) for policy, df in done.items()]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+
+
+def _by_day(spark, d, name: str, usage=None) -> DayTable:
+    t = DayTable(spark, scratch_dir(spark, name), TOKENS)
+    t.append((load_usage(spark, d) if usage is None else usage).select(*TOKENS.names))
+    return t
+
+
+def q_replace_by_day(spark, d):
+    """The replacement of ``replace_by_session``, in a table laid out by day."""
+    t = _by_day(spark, d, "replace-days")
+    t.replace(materialized(_recent_rows(load_usage(spark, d)), "recent"))
+    return t.read().drop("dt")
+
+
+def q_top_sessions_by_day(spark, d):
+    """The latest sessions, found in the newest days of a table laid out by day."""
+    t = _by_day(spark, d, "top-days")
+    return top_sessions_by_day(t.read(), 3, t.days())
+
+
+def q_period_from_summary(spark, d):
+    """The period table from the mergeable summary, added to by four batches, and the facts of the bounds' buckets."""
+    u = load_usage(spark, d)
+    t, sums = _by_day(spark, d, "summary-days", u), UsageSummary(spark, scratch_dir(spark, "summary"))
+    for batch in range(4):
+        sums.add(u.filter(F.col("id") % 4 == batch), batch)
+    return sums.period_summary(t.read(), AS_OF).select("period", "msgs", "input", "output", "cost_cents")
+
+
 # ---------------------------------------------------------------- transcripts
 def _sessions(spark, d):
     return transcript_sessions(load_lines(spark, d).drop("line_ts"), AS_OF)
@@ -243,6 +298,14 @@ def q_session_key(spark, d):
     return list_transcripts(spark, _land_transcripts(spark, d)).select("session")
 
 
+def q_import_by_ranges(spark, d):
+    """An import of the files by ranges of names, each a whole incremental run."""
+    from tokentally.plans.sync import UsageStore
+    store = UsageStore.open(spark, scratch_dir(spark, "range-store"))
+    store.sync_folder(_land_transcripts(spark, d), AS_OF, files=IMPORT_RANGE)
+    return store.chats.read()
+
+
 def q_create_if_missing(spark, d):
     """A first sync into a store that isn't there."""
     from tokentally.plans.sync import UsageStore
@@ -329,6 +392,20 @@ def q_stream_history(spark, d):
     return _run_live(spark, d).ring.read()
 
 
+def q_stream_rollup(spark, d):
+    """The live rollup of the streamed events, merged from its runs."""
+    return _run_live(spark, d).rollup()
+
+
+def q_stream_session_rings(spark, d):
+    """The last 50 responses of each session, as a stream."""
+    from tokentally.streaming.live import live_source, start_session_rings
+    q = start_session_rings(live_source(spark, _land_live_files(spark, d), max_files=1), scratch_dir(spark, "rings"),
+                            scratch_dir(spark, "rings-ckpt"))
+    q.awaitTermination()
+    return q.table.rings().select("session", "pos", "ts", "id", "input", "output")
+
+
 def q_stream_session_totals(spark, d):
     from tokentally.streaming.live import live_source, start_session_totals
     src = _land_live_files(spark, d)
@@ -371,6 +448,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "live_status": q_live_status,
     "upsert_additive": q_upsert_additive,
     "replace_by_session": q_replace_by_session,
+    "upsert_nameless": q_upsert_nameless,
+    "replace_by_day": q_replace_by_day,
+    "top_sessions_by_day": q_top_sessions_by_day,
+    "period_from_summary": q_period_from_summary,
     "upsert_import": q_upsert_import,
     "upsert_monotone": q_upsert_monotone,
     "schema_evolve": q_schema_evolve,
@@ -379,6 +460,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "transcript_span": q_transcript_span,
     "transcript_files": q_transcript_files,
     "session_key": q_session_key,
+    "import_by_ranges": q_import_by_ranges,
     "create_if_missing": q_create_if_missing,
     "backfill_import": q_backfill_import,
     "import_per_line": q_import_per_line,
@@ -388,6 +470,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "import_summary": q_import_summary,
     "import_cost_by_family": q_import_cost_by_family,
     "stream_ingest": q_stream_ingest,
+    "stream_rollup": q_stream_rollup,
+    "stream_session_rings": q_stream_session_rings,
     "stream_session_totals": q_stream_session_totals,
     "stream_history": q_stream_history,
     "stream_sync": q_stream_sync,

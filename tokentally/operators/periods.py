@@ -50,13 +50,15 @@ def period_model_totals(usage: DataFrame, as_of: int, periods=PERIODS) -> DataFr
     One pass over ``usage`` grouped by (model, band): five running sums per
     row, and at most (len(periods)+1) x models groups whatever the data size.
     Period k is then the sum of bands <= k, computed on those few rows.
+    A column ``msgs`` says how many facts a row stands for (else one each).
     """
     unbounded = periods[-1][1] is None
     if not unbounded:
         usage = since(usage, as_of - max(s for _, s in periods))
-    src = usage.select("ts", F.coalesce(F.col("model"), F.lit("")).alias("model"), *SUMS)
+    weighed = ["msgs"] if "msgs" in usage.columns else []
+    src = usage.select("ts", F.coalesce(F.col("model"), F.lit("")).alias("model"), *weighed, *SUMS)
     banded = src.groupBy("model", _band(as_of, periods).alias("band")).agg(
-        F.count("*").alias("msgs"), *[F.sum(z(c)).alias(c) for c in SUMS])
+        (F.sum("msgs") if weighed else F.count("*")).alias("msgs"), *[F.sum(z(c)).alias(c) for c in SUMS])
     last = len(periods) - 1
     labels = F.array(*[F.lit(lbl) for lbl, _ in periods])
     # the extra band (not priced) belongs to the unbounded period only

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tokentally.constants import CHAT_LIST_LIMIT, TOP_SESSIONS
 from tokentally.functions.formatting import duration_text, session_prefix, title_display
 from tokentally.functions.pricing import blank, cost_cents, model_family, z
+from tokentally.operators.joins import semi_join
 
 
 def arrival_key():
@@ -48,8 +51,37 @@ def top_sessions(usage: DataFrame, k: int = TOP_SESSIONS) -> DataFrame:
     """Latest ``k`` sessions by last ts (session name breaks ties): count,
     tokens, cost at the session's latest model (blank priced as the default
     family), duration.  Blank session names are dropped after the limit."""
-    r = session_rollup(usage)
-    top = r.orderBy(F.col("last_ts").desc(), F.col("session")).limit(k)
+    return _session_block(session_rollup(usage), k)
+
+
+def latest_sessions(usage: DataFrame, k: int, days: Iterable[str | None]) -> tuple[DataFrame, list[str | None]]:
+    """(session) of the latest ``k`` sessions of facts laid out by day, and the days that were read.
+
+    ``days``: the days of ``usage`` (its partition column ``dt``), newest first, those without stamp (None)
+    last.  A session without a row in the newest days ended before all that has one there, so the folders are
+    read from the newest on, twice as many each time, until they hold ``k`` sessions."""
+    days, n = list(days), 1
+    while True:
+        read = days[:n]
+        named = [d for d in read if d is not None]
+        inside = F.col("dt").isin(named) | (F.col("dt").isNull() if None in read else F.lit(False))
+        last = usage.where(inside).groupBy("session").agg(F.max("ts").alias("last_ts"))
+        top = last.orderBy(F.col("last_ts").desc(), F.col("session")).limit(k).collect()     # k rows
+        if len(top) == k or n >= len(days):
+            break
+        n *= 2
+    names = usage.sparkSession.createDataFrame([(r["session"],) for r in top], "session string")
+    return names, read
+
+
+def top_sessions_by_day(usage: DataFrame, k: int, days: Iterable[str | None]) -> DataFrame:
+    """``top_sessions`` of facts laid out by day: the totals are of the latest ``k`` sessions alone."""
+    names, _ = latest_sessions(usage, k, days)
+    return _session_block(session_rollup(semi_join(usage, F.broadcast(names), "session")), k)
+
+
+def _session_block(rollup: DataFrame, k: int) -> DataFrame:
+    top = rollup.orderBy(F.col("last_ts").desc(), F.col("session")).limit(k)
     dur = (F.col("last_ts") - F.col("first_ts")).cast("long")
     return (top.filter(~blank("session"))
                .select("session", session_prefix("session", 6).alias("session_short"), "msgs",

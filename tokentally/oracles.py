@@ -3,7 +3,7 @@
 Independent formulations: per-period joins instead of conditional
 aggregates, per-chart WHERE bounds instead of the fine-bucket rollup,
 ``row_number`` windows instead of arg-max aggregates, a plain running window
-instead of the three-level prefix sum, and transcript values computed from
+instead of the range split, and transcript values computed from
 the conversation columns instead of scanning JSON text.
 """
 
@@ -437,7 +437,37 @@ SELECT strftime(TIMESTAMP '1970-01-01 00:00:00' + to_seconds(ts), '%Y%m%d') AS s
 FROM usage WHERE input > 0 OR output > 0
 GROUP BY 1"""
 
+_SESSION = "'s' || CAST(user_id AS VARCHAR) AS session"
+_NONE = "<none>"
+
+
+def nameless(policy: str, sql: str) -> str:
+    """``sql`` over facts of which every fourth user's have no session (a name of its own inside the SQL)."""
+    some = sql.replace(_SESSION, f"CASE WHEN user_id % 4 = 0 THEN '{_NONE}' ELSE 's' || CAST(user_id AS VARCHAR) END AS session")
+    return f"SELECT '{policy}' AS policy, * REPLACE (nullif(session, '{_NONE}') AS session) FROM ({some}) t"
+
+
+UPSERT_NAMELESS = " UNION ALL BY NAME ".join(nameless(p, q) for p, q in (
+    ("import", UPSERT_IMPORT), ("monotone", UPSERT_MONOTONE), ("additive", UPSERT_ADDITIVE)))
+
+# a live event's session is its day, and only events with tokens are recorded
+LIVE_USAGE = W.replace(_SESSION, "strftime(ts, '%Y%m%d') AS session") + ",\nlive AS (SELECT * FROM usage WHERE input > 0 OR output > 0)"
+STREAM_ROLLUP = UPSERT_ADDITIVE.replace(W, LIVE_USAGE).replace("FROM usage", "FROM live").replace(
+    "live AS (SELECT * FROM live", "live AS (SELECT * FROM usage")
+
+STREAM_SESSION_RINGS = LIVE_USAGE + """,
+ranked AS (SELECT *, row_number() OVER (PARTITION BY session ORDER BY ts DESC, id DESC) AS rn FROM live)
+SELECT session, CAST(row_number() OVER (PARTITION BY session ORDER BY ts, id) - 1 AS BIGINT) AS pos, ts, id, input, output
+FROM ranked WHERE rn <= 50"""
+
 ORACLES = {
+    "upsert_nameless": UPSERT_NAMELESS,
+    "replace_by_day": REPLACE_BY_SESSION,
+    "top_sessions_by_day": TOP_SESSIONS,
+    "period_from_summary": PERIOD_SUMMARY,
+    "import_by_ranges": BACKFILL_IMPORT,
+    "stream_rollup": STREAM_ROLLUP,
+    "stream_session_rings": STREAM_SESSION_RINGS,
     "model_family": MODEL_FAMILY,
     "usage_priced": USAGE_PRICED,
     "humanize": HUMANIZE,

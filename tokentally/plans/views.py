@@ -11,7 +11,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tokentally.operators.merge import upsert_monotone
-from tokentally.operators.pruning import dt_of
 from tokentally.sources.schemas import TOKEN_COLUMNS
 
 
@@ -20,9 +19,9 @@ def all_usage(store, sink=None) -> DataFrame:
     ``source`` column ('import' / 'live').  The same activity can appear in
     both (a live day session and the transcript imported later); reports use
     every row by default, as the metered tool does, and a user may filter.
-    ``dt`` stays a partition column of the live facts, so a time-bounded report
-    reads only the folders of its days."""
-    t = store.tokens.read().select(*TOKEN_COLUMNS, dt_of("ts").alias("dt"), F.lit("import").alias("source"))
+    ``dt`` is a partition column of both, so a time-bounded report reads only
+    the folders of its days."""
+    t = store.tokens.read().select(*TOKEN_COLUMNS, "dt", F.lit("import").alias("source"))
     if sink is None:
         return t
     return t.unionByName(sink.facts().select(*TOKEN_COLUMNS, "dt", F.lit("live").alias("source")))

@@ -11,6 +11,7 @@ checkpoint reads again are new events to the sink:
 * facts   append-only table; batch <n> of a stream owns folder ``stream=<id>/batch_id=<n>`` (overwritten on replay)
 * rollup  runs of per-session deltas (additive policy, ``streaming.rollup``), skipped when already applied
 * ring    versioned snapshot of the last 50 pairs, skipped when applied
+* summary (``summary=True``) sums by day, model and bucket, for period reports that read few facts
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ from tokentally.plans.live import live_rows
 from tokentally.sources.live import decode_records
 from tokentally.sources.schemas import CHATS, LIVE_EVENT, TOKENS
 from tokentally.sources.store import SnapshotTable, path_exists, stream_id
-from tokentally.streaming.rollup import RollupRuns
+from tokentally.streaming.rollup import RingRuns, RollupRuns, UsageSummary
 
 ENVELOPE = T.StructType([T.StructField("id", T.LongType()), T.StructField("ts", T.LongType())]
                         + list(LIVE_EVENT.fields))
@@ -69,11 +70,13 @@ class LiveSink:
     root: str
     session: str | None = None
     record: bool = True
+    summary: bool = False
 
     def __post_init__(self):
         self.facts_path = f"{self.root}/tokens_live"
         self.chats = RollupRuns(self.spark, f"{self.root}/chats", LIVE_CHATS)
         self.ring = SnapshotTable(self.spark, f"{self.root}/history", RING)
+        self.sums = UsageSummary(self.spark, f"{self.root}/summary")
 
     def rollup(self) -> DataFrame:
         """The live per-session rollup in the chats schema."""
@@ -103,6 +106,8 @@ class LiveSink:
                 delta = keyed_delta(batch.filter((F.col("input") > 0) | (F.col("output") > 0))
                                     .withColumn("session", rows_session(self.session)))
                 self.chats.add(delta, batch_id, stream)
+                if self.summary:
+                    self.sums.add(rows, batch_id, stream)
             if not self.ring.applied(batch_id, stream):
                 old = self.ring.read().select("ts", "id", "input", "output")
                 # the ring follows every response with tokens, recorded or not
@@ -123,6 +128,24 @@ def start_live_ingest(source: DataFrame, sink: LiveSink, checkpoint: str,
     return w.start()
 
 
+def start_session_rings(source: DataFrame, root: str, checkpoint: str, session: str | None = None,
+                        available_now: bool = True) -> StreamingQuery:
+    """The last 50 responses of each session (S13 per key) as a stream without state: a batch adds its own rings
+    as a run, and rings of one session merge in any order.  ``query.table.rings()`` reads them."""
+    schema = T.StructType([T.StructField("session", T.StringType())] + [f for f in RING.fields if f.name != "pos"])
+    table = RingRuns(source.sparkSession, f"{root}/session_rings", schema)
+
+    def apply(batch: DataFrame, batch_id: int) -> None:
+        rows = recorded(batch).withColumn("session", rows_session(session))
+        table.add(table.merge(rows), batch_id, stream_id(source.sparkSession, checkpoint))
+
+    w = source.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
+    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 second")
+    q = w.start()
+    q.table = table  # type: ignore[attr-defined]
+    return q
+
+
 def start_session_totals(source: DataFrame, root: str, checkpoint: str, session: str | None = None,
                          available_now: bool = True) -> StreamingQuery:
     """Stateful running totals per session (state store, update mode); each
