@@ -23,11 +23,12 @@ goes; repeated pages each give a row; empty tables work; other columns are ignor
 
 from __future__ import annotations
 
+import hashlib
 import html as html_lib
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -40,11 +41,13 @@ SALTS = 64
 #: A vote of 1.0 in the integer sums (sums don't depend on their order).
 VOTE = 1_000_000
 
+# a tag without end gives up at the next "<"; nothing is looked at twice, so broken markup takes linear time
+_ATTRIBUTES = r"(?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+"
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|$)"
-    r"|<(script|style|noscript|template|textarea|svg|iframe|object|title)(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|$)"
-    r"|<(/?)([a-zA-Z][^\s/>\"'<]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
-    r"|<[!?][^>]*>", re.S | re.I)
+    r"<!--.*?(?:-->|\Z)"
+    rf"|<(script|style|noscript|template|textarea|svg|iframe|object|title)(?=[\s/>]){_ATTRIBUTES}>.*?(?:</\1\s*>|\Z)"
+    rf"|<(/?)([a-zA-Z][^\s/>\"'<]*+)({_ATTRIBUTES})>"
+    r"|<[!?][^<>]*+>", re.S | re.I)
 _ATTRIBUTE = re.compile(r"([\w:-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 #: Attributes with or without a value.
 _ANY = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?|\"[^\"]*\"|'[^']*'")
@@ -66,10 +69,23 @@ _JUNK_WORDS = frozenset(
     "alert popup modal overlay newsletter subscribe subscription share sharing social related recommended comment "
     "comments respond reply replies disqus discussion widget pagination pager skip search login signup toolbar "
     "contentinfo complementary disclaimer".split())
+# Words behind a mark that leave it a mark ("comment-list" is one, "social-science" is none).
+_PART_OF = frozenset(
+    "area articles bar block body bottom box button buttons card cards container content feed footer form group header "
+    "heading holder icon icons inner item items label left link links list main outer panel posts right row section "
+    "slot small stories strip text title top unit wrap wrapper".split())
 _NOT_JUNK = frozenset("with has no without".split())
 
 
-@dataclass
+#: Longest path that is spelled out; the part above goes into a hash.
+PATH_CHARS = 400
+# a new one of these ends an open one of those, up to the next container that is not in the way
+_ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}, "td": {"td", "th"}, "th": {"td", "th"},
+         "tr": {"td", "th", "tr"}}
+_IMPLIED = frozenset("p li dt dd option".split())
+
+
+@dataclass(slots=True, eq=False)
 class Node:
     tag: str
     path: str
@@ -77,7 +93,15 @@ class Node:
     junk: bool
     owner: "Node | None"            # the article or main element around it
     score: float = 0.0
-    blocks: list = field(default_factory=list)
+    inside: bool = False
+
+
+@dataclass(slots=True, eq=False)
+class Open:
+    """An open element: its container and whether its text is hidden from a line that goes on around it."""
+    tag: str
+    node: Node
+    mute: bool
 
 
 def _hidden(attributes: str) -> bool:
@@ -99,24 +123,42 @@ def _junk(tag: str, attributes: str, names: dict[str, str], parent: Node) -> boo
         return False
     if _hidden(attributes):
         return True
-    for name in " ".join(names.get(k, "") for k in ("class", "id", "role")).lower().split():
-        parts = set(_PARTS.split(name))
-        if parts & _JUNK_WORDS and not parts & _NOT_JUNK:
-            return True
-    return False
+    return any(map(_marked, " ".join(names.get(k, "") for k in ("class", "id", "role")).lower().split()))
+
+
+def _marked(name: str) -> bool:
+    """Whether a class name, id or role marks boilerplate: its last word that says what, not which part of it."""
+    parts = [p for p in _PARTS.split(name) if p]
+    if _NOT_JUNK.intersection(parts):
+        return False
+    while len(parts) > 1 and parts[-1] in _PART_OF and parts[-1] not in _JUNK_WORDS:
+        parts.pop()
+    return bool(parts) and parts[-1] in _JUNK_WORDS
+
+
+def _path(above: str, step: str) -> str:
+    """Generalised path of an element; of a very deep one the upper part is a hash, so paths stay short."""
+    path = f"{above}/{step}"
+    if len(path) <= PATH_CHARS:
+        return path
+    return "#" + hashlib.blake2b(above.encode(), digest_size=8).hexdigest() + f"/{step[:PATH_CHARS // 2]}"
 
 
 def parse(page: str) -> tuple[list[Node], list[tuple[Node, str]]]:
     """Containers of a page, and its text blocks outside boilerplate with the container of each."""
     root = Node("", "", None, False, None)
-    nodes, found, here = [root], [], root
+    nodes, found = [root], []
+    stack = [Open("", root, False)]
+    opened: Counter = Counter()
+    # containers end the reach of implied ends: their places, and the open _IMPLIED elements since each
+    fence, within = [0], [{}]
     text: list[str] = []
     link, link_chars = 0, 0
 
     def flush() -> None:
         nonlocal link_chars
         if text:
-            block = " ".join(html_lib.unescape("".join(text)).split())
+            block, here = " ".join(html_lib.unescape("".join(text)).split()), stack[-1].node
             if block and not here.junk:
                 found.append((here, block))
                 weight = max(0, len(block) - 2 * link_chars)
@@ -127,9 +169,38 @@ def parse(page: str) -> tuple[list[Node], list[tuple[Node, str]]]:
             text.clear()
         link_chars = 0
 
+    def close(place: int) -> None:
+        """End the open elements from this place on."""
+        while len(stack) > place:
+            tag = stack.pop().tag
+            opened[tag] -= 1
+            if tag in _CONTAINERS or tag in _JUNK_TAGS:
+                within.pop()
+                fence.pop()
+            elif tag in _IMPLIED:
+                within[-1][tag] -= 1
+
+    def implied_end(tag: str) -> None:
+        """End the open elements that this start tag ends: what is passed over is ended, so it is passed over once."""
+        ends = _ENDS.get(tag, ())
+        while True:
+            near = within[-1]
+            if near.get("p") or any(near.get(t) for t in ends):
+                place = len(stack) - 1
+                while stack[place].tag != "p" and stack[place].tag not in ends:
+                    place -= 1
+            elif stack[fence[-1]].tag in ends:
+                place = fence[-1]
+            else:
+                return
+            ended = stack[place].tag
+            close(place)
+            if ended != "p" and tag != "tr":          # behind a p a li may end, behind a cell its row
+                return
+
     at = 0
     for m in _TOKEN.finditer(page):
-        if m.start() > at:
+        if m.start() > at and not stack[-1].mute:
             piece = page[at:m.start()]
             text.append(piece)
             if link:
@@ -139,37 +210,55 @@ def parse(page: str) -> tuple[list[Node], list[tuple[Node, str]]]:
         if tag is None:
             continue
         tag = tag.lower()
+        block = tag in _BLOCKS
         if m.group(2):
             if tag == "a":
                 link = max(0, link - 1)
-            if tag in _BLOCKS:
+            if block and not stack[-1].mute:
                 flush()
-                up = here
-                while up is not root and up.tag != tag:
-                    up = up.parent
-                if up is not root:
-                    here = up.parent
+            if opened[tag] > 0:
+                place = len(stack) - 1
+                while stack[place].tag != tag:
+                    place -= 1
+                close(place)
             continue
-        if tag == "br":
+        if tag == "br" and not stack[-1].mute:
             text.append(" ")
         if tag == "a":
             link += 1
-        if tag in _BLOCKS:
-            flush()
-            link = 0
-        attributes = m.group(4)
+        if block:
+            if not stack[-1].mute:
+                flush()
+                link = 0
+            implied_end(tag)
+        attributes, top = m.group(4), stack[-1]
+        if tag in _VOID or attributes.endswith("/"):
+            continue
+        if not block and not attributes and tag not in _JUNK_TAGS and not opened[tag]:
+            continue
         names = {k.lower(): a or b or c for k, a, b, c in _ATTRIBUTE.findall(attributes)} if attributes else {}
-        if tag in _CONTAINERS or (tag in _BLOCKS and tag not in _VOID and _junk(tag, attributes, names, here)):
-            if attributes.endswith("/"):
-                continue
+        junk = _junk(tag, attributes, names, top.node)
+        if tag in _CONTAINERS or (block and junk):
             classes = ".".join(sorted(set(_DIGITS.sub("0", names.get("class", "")).split())))
-            node = Node(tag, f"{here.path}/{tag}" + (f".{classes}" if classes else ""), here,
-                        here.junk or _junk(tag, attributes, names, here), here.owner)
-            if tag in ("article", "main") and not node.junk and (here.owner is None or here.owner.tag == "main"):
+            node = Node(tag, _path(top.node.path, tag + (f".{classes}" if classes else "")), top.node,
+                        top.node.junk or junk, top.node.owner)
+            if tag in ("article", "main") and not node.junk and (node.owner is None or node.owner.tag == "main"):
                 node.owner = node
             nodes.append(node)
-            here = node
-    text.append(page[at:])
+            stack.append(Open(tag, node, top.mute))
+        elif block or junk or opened[tag]:
+            # a line goes on around an inline element; one of the same name inside it needs its own end
+            stack.append(Open(tag, top.node, top.mute or (junk and not block)))
+        else:
+            continue
+        opened[tag] += 1
+        if tag in _CONTAINERS or tag in _JUNK_TAGS:
+            fence.append(len(stack) - 1)
+            within.append({})
+        elif tag in _IMPLIED:
+            within[-1][tag] = within[-1].get(tag, 0) + 1
+    if not stack[-1].mute:
+        text.append(page[at:])
     flush()
     return nodes, found
 
@@ -190,25 +279,21 @@ def extract(page: str, path: str | None) -> tuple[str, bool]:
     nodes, found = parse(page)
     if not found:
         return "", False
-    chosen = {id(n) for n in nodes if n.path == path and not n.junk}
-    on_path = bool(chosen)
-
-    def within(n: Node | None) -> bool:
-        while n is not None:
-            if id(n) in chosen:
-                return True
-            n = n.parent
-        return False
-
-    blocks = [b for n, b in found if within(n)] if chosen else []
+    on_path = path is not None and any(n.path == path and not n.junk for n in nodes)
+    blocks = _within(nodes, found, path) if on_path else []
     if not blocks:
         on_path = False
-        best = max(nodes, key=lambda n: n.score)
-        chosen = {id(n) for n in nodes if n.path == best.path}
-        blocks = [b for n, b in found if within(n)]
+        blocks = _within(nodes, found, max(nodes, key=lambda n: n.score).path)
     return "\n".join(blocks), on_path
 
 
+def _within(nodes: list[Node], found: list[tuple[Node, str]], path: str) -> list[str]:
+    """Blocks in or below the containers of a path (a container comes before what it holds)."""
+    for n in nodes:
+        n.inside = (n.path == path and not n.junk) or (n.parent is not None and n.parent.inside)
+    return [block for n, block in found if n.inside]
+
+
 def host_of(url):
     """Host part of a url column, lower case, without user and port; empty if there is none."""
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[a-zA-Z][\w+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
