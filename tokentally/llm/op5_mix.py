@@ -12,7 +12,7 @@ source ends within one block of its target whatever the draws.
 
 Skew: a source may hold a third of all words.  Offsets inside a source are
 running sums in two steps (over ``buckets`` hash buckets, then inside a
-bucket), and slots and blocks join on (source, block), of which a block holds
+bucket), those of the shards' draws are split by range of shards, and slots and blocks join on (source, block), of which a block holds
 at most ``block_words`` documents.  The driver sees one row a source.
 
 Defined cases: null text -> size 0, taken 0; null source is a source of its own
@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 
 from tokentally.llm import textops
 from tokentally.llm.sources import materialize
+from tokentally.operators.running import range_sums
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -163,8 +164,9 @@ def plan_slots(spark: SparkSession, names, sizes, goals, mix: Mix) -> DataFrame:
     draws = spark.range(shards).mapInArrow(
         _draws([q / total for q in quotas], mix.shard_blocks, mix.seed), "shard long, sid int, n long")
     quota = spark.createDataFrame([(i, q) for i, q in enumerate(quotas)], "sid int, quota long")
-    run = Window.partitionBy("sid").orderBy("shard")
-    drawn = draws.withColumn("first", F.sum("n").over(run) - F.col("n")).join(quota, "sid")
+    # a source's draws of all shards, split by range of shards
+    drawn = (range_sums(draws, "sid", ["shard"], ("n",)).withColumn("first", F.col("run_n") - F.col("n"))
+             .join(quota, "sid"))
     used = drawn.select("shard", "sid", "first", F.least(F.col("first") + F.col("n"), "quota").alias("end"))
     met = draws.groupBy("sid").agg(F.sum("n").alias("met"))
     rest = (quota.join(met, "sid", "left")
