@@ -44,7 +44,7 @@ def live_status(tokens: DataFrame, events: DataFrame, width: int = 30) -> DataFr
     from tokentally.functions.gauges import bar_filled, bar_zones
     from tokentally.functions.pricing import cost_cents, z
     from tokentally.operators.joins import semi_join
-    from tokentally.operators.running import running_totals
+    from tokentally.operators.running import range_split, sums_in_parts
 
     stored = (semi_join(tokens, events.select("session"), "session")
               .groupBy("session")
@@ -54,8 +54,10 @@ def live_status(tokens: DataFrame, events: DataFrame, width: int = 30) -> DataFr
         "id", "ts", "session", "model", "ctx_pct", *SUMS, F.lit("all").alias("one"),
         F.when(is_recorded, 1).otherwise(0).cast("long").alias("n"),
         *[F.when(is_recorded, z(c)).otherwise(0).cast("long").alias(f"m_{c}") for c in SUMS])
-    ev = running_totals(ev, "session", tuple(f"m_{c}" for c in SUMS))
-    ev = running_totals(ev, "one", ("n",)).withColumnRenamed("run_n", "p")
+    # one split by arrival serves the sums of each session and the numbers of all events
+    split = range_split(ev, ["ts", "id"])
+    ev = sums_in_parts(split, "session", ["ts", "id"], tuple(f"m_{c}" for c in SUMS))
+    ev = sums_in_parts(ev, "one", ["ts", "id"], ("n",), split=split).withColumnRenamed("run_n", "p")
     stored = stored.withColumnRenamed("session", "s_session")
     j = ev.join(stored, ev["session"].eqNullSafe(stored["s_session"]), "left").join(history_bars(tokens, ev, width), "p", "left")
     tot = {c: z(f"s_{c}") + F.col(f"run_m_{c}") - F.col(f"m_{c}") + z(c) for c in SUMS}
