@@ -6,7 +6,7 @@ import pytest
 import __spark_entry__ as E
 
 SF = "/root/testdata/sf0.001"
-TABLES = ("events", "conversations")
+TABLES = ["events", "conversations", "documents", "pages", "labels", "benchmark"]
 
 
 def test_entry_runs(spark):

@@ -6,11 +6,13 @@ from collections.abc import Iterable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tokentally.constants import CHAT_LIST_LIMIT, TOP_SESSIONS
 from tokentally.functions.formatting import duration_text, session_prefix, title_display
 from tokentally.functions.pricing import blank, cost_cents, model_family, z
 from tokentally.operators.joins import semi_join
+from tokentally.sources.literal import literal_table
 
 
 def arrival_key():
@@ -70,7 +72,8 @@ def latest_sessions(usage: DataFrame, k: int, days: Iterable[str | None]) -> tup
         if len(top) == k or n >= len(days):
             break
         n *= 2
-    names = usage.sparkSession.createDataFrame([(r["session"],) for r in top], "session string")
+    names = literal_table(usage.sparkSession, [(r["session"],) for r in top],
+                          T.StructType([T.StructField("session", T.StringType())]))
     return names, read
 
 
