@@ -13,12 +13,12 @@ import sys
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-import __spark_entry__ as E  # noqa: E402
+from tokentally.catalog import QUERIES  # noqa: E402
 from tokentally.session import get_spark  # noqa: E402
 
 COUNT = [
     ("scans", r"FileScan parquet|Scan parquet"),
-    ("shuffles", r"Exchange hashpartitioning|Exchange rangepartitioning|Exchange SinglePartition"),
+    ("shuffles", r"Exchange hashpartitioning|Exchange rangepartitioning|Exchange SinglePartition|Exchange shufflepartitionid"),
     ("broadcasts", r"BroadcastExchange"),
     ("smj", r"SortMergeJoin"),
     ("bhj", r"BroadcastHashJoin"),
@@ -33,7 +33,7 @@ def main() -> None:
     sf = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     spark = get_spark("local[8]", shuffle_partitions=8)
     rows = []
-    for name, fn in E.queries().items():
+    for name, fn in QUERIES.items():
         if name.startswith("stream_"):
             continue
         df = fn(spark, sf)
