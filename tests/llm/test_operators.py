@@ -314,6 +314,26 @@ def test_block_links_span_all_links():
                 assert label[i] == label[j]
 
 
+def test_second_pass_hands_on_nodes_not_pairs():
+    """A meeting of 60 near sets, each a component of its own, hands on 60 rows (not 1,770 pairs) that hold every link."""
+    rng = np.random.default_rng(4)
+    base = rng.integers(1, 1 << 63, 100).astype(np.uint64)
+    sets = [np.sort(np.append(base, rng.integers(1, 1 << 63, 3).astype(np.uint64))) for _ in range(60)]
+    n, names = len(sets), ["token", "low", "high", "block", "node", "comp", "n", "map", "least"]
+    ints = [np.full(n, int(base.min())), np.zeros(n, int), np.zeros(n, int), np.zeros(n, int), np.arange(n), np.arange(n),
+            np.array([len(x) for x in sets])]
+    arrays = [pa.array(x, pa.int64()) for x in ints] + [pa.array([op4_jaccard.bitmap(x) for x in sets], pa.binary()), pa.array(ints[0], pa.int64())]
+    rule = op4_jaccard.Rule()
+    met = pa.Table.from_batches(op4_jaccard._second_pass(rule)([pa.RecordBatch.from_arrays(arrays, names=names)]))
+    assert met.num_rows == n and sorted(met["node"].to_pylist()) == list(range(n)) and len(set(met["meeting"].to_pylist())) == 1
+    tokens = pa.array([sets[i].tobytes() for i in met["node"].to_pylist()], pa.binary())
+    links = pa.Table.from_batches(op4_jaccard._verify(rule)(met.append_column("tokens", tokens).to_batches()))
+    assert links.num_rows == n - 1 and set(links["a"].to_pylist()) | set(links["b"].to_pylist()) == set(range(n))
+    # nodes of one component are not handed on again
+    arrays[5] = pa.array(np.zeros(n, int), pa.int64())
+    assert not list(op4_jaccard._second_pass(rule)([pa.RecordBatch.from_arrays(arrays, names=names)]))
+
+
 def test_jaccard_stage_keeps_one_of_each_group(spark):
     text = " ".join(f"w{i}" for i in range(60))
     rows = [(5, text), (3, text), (3, text), (9, text + " end"), (4, "another text of its own, with more words"), (7, None), (8, "")]

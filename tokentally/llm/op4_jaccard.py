@@ -17,9 +17,10 @@ pair of sets with Jaccard similarity >= ``num / den`` ends in one component.
    tree nodes is left out if its largest possible overlap is too small or all of
    its documents are already linked.  Leaf pairs are verified on the tokens.
 4. Second pass, for what the first missed: only tokens that still join two
-   different components.  Their nodes meet in pairs of blocks, with bitmaps
-   alone; pairs of different components whose bitmaps allow the overlap are
-   verified on the tokens by a join.
+   different components, one of those with the same nodes.  Their nodes meet in
+   pairs of blocks, with bitmaps alone; a meeting hands on the nodes of components
+   that the bitmaps allow to link, once each, not their pairs.  Equal sets of such
+   nodes are one, and are joined like the blocks of the first pass, on the tokens.
 5. Components of all verified links (``components``).
 
 No group is gathered in one task beyond a block (or a pair of blocks), no
@@ -296,8 +297,8 @@ def traverse(a: list[Level], b: list[Level], same: bool, rule: Rule, skip) -> It
 class Forest:
     """Components of a block's rows as flat labels, for whole-array tests."""
 
-    def __init__(self, n: int):
-        self.label = np.arange(n)
+    def __init__(self, n: int, comp: np.ndarray | None = None):
+        self.label = np.arange(n) if comp is None else np.unique(comp, return_inverse=True)[1]
 
     def join(self, i: int, j: int) -> None:
         x, y = self.label[i], self.label[j]
@@ -311,31 +312,19 @@ def _stack(maps: list[bytes], sizes: np.ndarray) -> list[tuple[np.ndarray, np.nd
              .reshape(-1, w // 8)) for w in np.unique(width)]
 
 
-def block_links(nodes: np.ndarray, tokens: list[np.ndarray], rule: Rule) -> Iterator[tuple[int, int]]:
-    """Verified links that span the components of one block: the tree joined with itself."""
+def block_links(nodes: np.ndarray, tokens: list[np.ndarray], rule: Rule,
+                comp: np.ndarray | None = None) -> Iterator[tuple[int, int]]:
+    """Verified links that span the components of one block (beside those of ``comp``): the tree joined with itself."""
     sizes = np.array([len(t) for t in tokens], np.int64)
     # alike sets side by side: by size class, then by their least tokens
     order = sorted(range(len(nodes)), key=lambda r: (bit_width(sizes[r]), tokens[r][:2].tobytes(), sizes[r]))
     nodes, sizes, tokens = nodes[order], sizes[order], [tokens[r] for r in order]
-    forest = Forest(len(nodes))
+    forest = Forest(len(nodes), comp if comp is None else comp[order])
     trees = [(rows, m, build_tree(m, sizes[rows])) for rows, m in _stack([bitmap(t) for t in tokens], sizes)]
-    for x, (rows_a, maps_a, tree_a) in enumerate(trees):
+    for x, side_a in enumerate(trees):
         for y in range(x, len(trees)):
-            rows_b, maps_b, tree_b = trees[y]
-            same = x == y
-            if not same:                    # sizes within num/den of each other differ by one width at most
-                if maps_b.shape[1] > 2 * maps_a.shape[1]:
-                    continue
-                tree_b = build_tree(fold(maps_b, maps_a.shape[1]), sizes[rows_b])
-            la, lb = _Labels(forest, rows_a), _Labels(forest, rows_b)
-
-            def skip(a, i, b, j):
-                lo_a, hi_a = la.range(a)
-                lo_b, hi_b = lb.range(b)
-                return (lo_a[i] == hi_a[i]) & (lo_b[j] == hi_b[j]) & (lo_a[i] == lo_b[j])
-
-            for i, j in traverse(tree_a, tree_b, same, rule, skip):
-                for r, s in zip(rows_a[i].tolist(), rows_b[j].tolist()):
+            for r, s, _, _ in open_pairs(side_a, trees[y], x == y, sizes, forest, rule):
+                for r, s in zip(r.tolist(), s.tolist()):
                     if forest.label[r] != forest.label[s]:
                         shared = len(np.intersect1d(tokens[r], tokens[s], assume_unique=True))
                         if shared >= rule.overlap(sizes[r], sizes[s]):
@@ -343,6 +332,27 @@ def block_links(nodes: np.ndarray, tokens: list[np.ndarray], rule: Rule) -> Iter
                             yield int(nodes[r]), int(nodes[s])
 
 
+def open_pairs(side_a, side_b, same: bool, sizes: np.ndarray, forest: Forest, rule: Rule):
+    """Rows (and their bitmaps) that may link across the forest's components; a side is (rows, bitmaps, tree)."""
+    (rows_a, maps_a, tree_a), (rows_b, maps_b, tree_b) = side_a, side_b
+    wide_a, wide_b = maps_a.shape[1], maps_b.shape[1]
+    if max(wide_a, wide_b) > 2 * min(wide_a, wide_b):     # sizes within num/den differ by one width at most
+        return
+    if wide_a > wide_b:
+        tree_a = build_tree(fold(maps_a, wide_b), sizes[rows_a])
+    elif wide_b > wide_a:
+        tree_b = build_tree(fold(maps_b, wide_a), sizes[rows_b])
+    la, lb = _Labels(forest, rows_a), _Labels(forest, rows_b)
+
+    def skip(a, i, b, j):
+        lo_a, hi_a = la.range(a)
+        lo_b, hi_b = lb.range(b)
+        return (lo_a[i] == hi_a[i]) & (lo_b[j] == hi_b[j]) & (lo_a[i] == lo_b[j])
+
+    for i, j in traverse(tree_a, tree_b, same, rule, skip):
+        yield rows_a[i], rows_b[j], tree_a[0].maps[i], tree_b[0].maps[j]
+
+
 class _Labels:
     """Least and largest label under each tree node."""
 
@@ -390,47 +400,46 @@ def _first_pass(rule: Rule):
     return run
 
 
+def may_link(token: int, lo: int, hi: int, t: pa.Table, rule: Rule) -> Iterator[np.ndarray]:
+    """Rows of a meeting (blocks ``lo`` and ``hi`` of a token) whose components the bitmaps allow to link, by what they may make."""
+    sizes, side, least = (t.column(c).to_numpy() for c in ("n", "block", "least"))
+    forest = Forest(t.num_rows, t.column("comp").to_numpy())
+    before = forest.label.copy()
+    maps, order = t.column("map").to_pylist(), np.lexsort((sizes, before))
+    parts = []
+    for b in dict.fromkeys((lo, hi)):
+        rows = order[side[order] == b]
+        parts.append([(rows[r], m, build_tree(m, sizes[rows[r]])) for r, m in _stack([maps[r] for r in rows], sizes[rows])])
+    for x, side_a in enumerate(parts[0]):
+        for y, side_b in enumerate(parts[-1]):
+            if lo == hi and y < x:
+                continue
+            for r, s, p, q in open_pairs(side_a, side_b, lo == hi and x == y, sizes, forest, rule):
+                # the leaf bound on each side's missing bits
+                need = rule.overlap(sizes[r], sizes[s])
+                # nodes with one least token meet under it, and are left to that meeting
+                ok = (least[r] != least[s]) | (least[r] == token)
+                ok &= ((sizes[r] - np.bitwise_count(p & ~q).sum(axis=1) >= need)
+                       & (sizes[s] - np.bitwise_count(q & ~p).sum(axis=1) >= need))
+                r, s = r[ok], s[ok]
+                while len(r):
+                    forest.join(r[0], s[0])
+                    apart = forest.label[r] != forest.label[s]
+                    r, s = r[apart], s[apart]
+    for label in np.unique(forest.label[forest.label != before]):
+        yield np.flatnonzero(forest.label == label)
+
+
 def _second_pass(rule: Rule):
-    """Pairs of different components whose bitmaps allow the overlap, within a block or between two."""
+    """Nodes of different components whose bitmaps allow a link, under a name of all that they may make together."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _grouped(batches, ["token", "low", "high"]):
             nodes, comp = t.column("node").to_numpy(), t.column("comp").to_numpy()
-            sizes, side = t.column("n").to_numpy(), t.column("block").to_numpy()
-            maps, least, token = t.column("map").to_pylist(), t.column("least").to_numpy(), t.column("token")[0].as_py()
-            lo, hi = t.column("low")[0].as_py(), t.column("high")[0].as_py()
-            order = np.lexsort((sizes, comp))
-            parts = []
-            for b in dict.fromkeys((lo, hi)):
-                rows = order[side[order] == b]
-                parts.append([(rows[r], m, build_tree(m, sizes[rows[r]])) for r, m in
-                              _stack([maps[r] for r in rows], sizes[rows])])
-            left, right = parts[0], parts[-1]
-            for x, (ra, ma, ta) in enumerate(left):
-                for y, (rb, mb, tb) in enumerate(right):
-                    same = lo == hi and x == y
-                    if (lo == hi and y < x) or max(ma.shape[1], mb.shape[1]) > 2 * min(ma.shape[1], mb.shape[1]):
-                        continue
-                    w = min(ma.shape[1], mb.shape[1])
-                    fa = ta if ma.shape[1] == w else build_tree(fold(ma, w), sizes[ra])
-                    fb = tb if mb.shape[1] == w else build_tree(fold(mb, w), sizes[rb])
-                    ca, cb = comp[ra], comp[rb]
-
-                    def skip(a, i, b, j):
-                        la, ha = np.minimum.reduceat(ca, a.first), np.maximum.reduceat(ca, a.first)
-                        lb, hb = np.minimum.reduceat(cb, b.first), np.maximum.reduceat(cb, b.first)
-                        return (la[i] == ha[i]) & (lb[j] == hb[j]) & (la[i] == lb[j])
-
-                    for i, j in traverse(fa, fb, same, rule, skip):
-                        # the leaf bound on each side's missing bits
-                        p, q = fa[0].maps[i], fb[0].maps[j]
-                        need = rule.overlap(sizes[ra[i]], sizes[rb[j]])
-                        # nodes with one least token meet under it, and are left to that meeting
-                        x_, y_ = least[ra[i]], least[rb[j]]
-                        ok = (x_ != y_) | (x_ == token)
-                        ok &= ((sizes[ra[i]] - np.bitwise_count(p & ~q).sum(axis=1) >= need)
-                              & (sizes[rb[j]] - np.bitwise_count(q & ~p).sum(axis=1) >= need))
-                        if ok.any():
-                            yield _pairs(list(zip(nodes[ra[i[ok]]].tolist(), nodes[rb[j[ok]]].tolist())))
+            for rows in may_link(*[t.column(c)[0].as_py() for c in ("token", "low", "high")], t, rule):
+                with np.errstate(over="ignore"):
+                    name = digest(nodes[rows].view(np.uint64))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), name), pa.int64()), pa.array(nodes[rows], pa.int64()),
+                                                  pa.array(comp[rows], pa.int64())], names=["meeting", "node", "comp"])
     return run
 
 
@@ -442,15 +451,13 @@ def _maps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _verify(rule: Rule):
+    """Links of the sets of nodes that the second pass hands on."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for a, b, x, y in zip(*[batch.column(c).to_pylist() for c in ("a", "b", "ta", "tb")]):
-                p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                if len(np.intersect1d(p, q, assume_unique=True)) >= rule.overlap(len(p), len(q)):
-                    out.append((a, b))
-            if out:
-                yield _pairs(out)
+        for t in _grouped(batches, ["meeting"]):
+            tokens = [np.frombuffer(x.as_buffer(), np.uint64) for x in t.column("tokens")]
+            found = list(block_links(t.column("node").to_numpy(), tokens, rule, t.column("comp").to_numpy()))
+            if found:
+                yield _pairs(found)
     return run
 
 
@@ -479,7 +486,10 @@ def jaccard_groups(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     passed = (index.groupBy("node").agg(F.count("*").alias("met"), F.first("n").alias("n"))
               .where(F.col("met") >= rule.least_shared(F.col("n"))).select("node"))
     index = index.drop("df").join(passed, "node", "left_semi")
-    shared = index.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
+    # tokens of the same nodes (by two hashes) bring the same ones together: one of them stays
+    shared = index.groupBy("token").agg(F.count("*").alias("df"), F.bit_xor(F.xxhash64("node")).alias("x"),
+                                        F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y")).where("df > 1")
+    shared = shared.groupBy("df", "x", "y").agg(F.min("token").alias("token")).select("token", "df")
     index = materialize(index.join(shared, "token"), "jaccard-index")
     first = index.groupBy("node").agg(F.min(F.struct("token", "df")).alias("m"))
     wanted = materialize(classes.select("node", "rep").join(first, "node").select(
@@ -520,11 +530,10 @@ def jaccard_groups(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
                     "block", "node", "comp"))
     maps = (full.select("node", "tokens").mapInArrow(_maps, "node long, map binary").join(full.select("node", "n"), "node")
             .join(least, "node"))
-    pairs = (rows.join(maps, "node").repartition("token", "low", "high").sortWithinPartitions("token", "low", "high", "node")
-             .mapInArrow(_second_pass(rule), "a long, b long").distinct())
-    ta = full.select(F.col("node").alias("a"), F.col("tokens").alias("ta"))
-    tb = full.select(F.col("node").alias("b"), F.col("tokens").alias("tb"))
-    more = pairs.join(ta, "a").join(tb, "b").mapInArrow(_verify(rule), "a long, b long")
+    meetings = (rows.join(maps, "node").repartition("token", "low", "high").sortWithinPartitions("token", "low", "high", "node")
+                .mapInArrow(_second_pass(rule), "meeting long, node long, comp long").distinct())
+    more = (meetings.join(full.select("node", "tokens"), "node").repartition("meeting").sortWithinPartitions("meeting", "node")
+            .select("meeting", "node", "comp", "tokens").mapInArrow(_verify(rule), "a long, b long"))
     found = materialize(more.unionByName(comp.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))),
                         "jaccard-links")
     comp = materialize(components(found), "jaccard-comps")
