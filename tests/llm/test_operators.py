@@ -447,6 +447,44 @@ def test_perplexity_bands_reject_junk_and_keep_prose(spark):
     assert not any(k for _, k, failed, _, _ in rows if failed)
 
 
+@pytest.mark.parametrize("held", [op6_perplexity.HELD_GRAMS, 6, 0])
+def test_perplexity_leaves_no_rare_gram_out(spark, monkeypatch, held):
+    """Bits of the whole model, beside millions of common n-grams, whether the tasks hold the n-grams or join them."""
+    monkeypatch.setattr(op6_perplexity, "HELD_GRAMS", held)
+    rng = random.Random(9)
+    rare = [" ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 9))) for _ in range(30)) for _ in range(6)]
+    rows = [(1, "en", "tell " * 1_200_000)] + [(i, "en", t) for i, t in enumerate(rare, 2)]
+    rows += [(2, "en", rare[0]), (8, None, "seul ici " * 12), (None, "en", rare[1] + " zzz"), (9, "en", None), (10, "de", "")]
+    d = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    got = op6_perplexity.perplexity_rules(d, trim=1.0).select("doc_id", "lang", "n_words", "bits").collect()
+    whole = op6_perplexity.Model.load(op6_perplexity.estimate(op6_perplexity.count_grams(d), min_share=0))
+    bits = op6_perplexity.bits_per_word(whole, *column([t for _, _, t in rows]), [x for _, x, _ in rows])
+    want = sorted(((i or 0, lang or "", len((t or "").split())), b) for (i, lang, t), b in zip(rows, bits.tolist()))
+    got = sorted(((r["doc_id"] or 0, r["lang"] or "", r["n_words"]), r["bits"]) for r in got)
+    assert [k for k, _ in got] == [k for k, _ in want]
+    assert np.allclose([b for _, b in got], [b for _, b in want], rtol=1e-5, atol=1e-9)
+
+
+def test_second_model_is_that_of_the_documents_within_the_limit(spark, monkeypatch):
+    """Counts less those beyond the limit, n-grams of theirs alone by back-off, as a model of the others would say."""
+    monkeypatch.setattr(op6_perplexity, "HELD_GRAMS", 40)
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abcde") for _ in range(rng.randint(2, 6))) for _ in range(60)]
+    rows = [(i, "en", " ".join(rng.choice(words) for _ in range(40))) for i in range(20)]
+    rows += [(20, "en", " ".join("".join(rng.choice("#%&xyz7") for _ in range(7)) for _ in range(40)))] * 2
+    d = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    got = {r["doc_id"]: r["bits"] for r in op6_perplexity.perplexity_rules(d).collect()}
+    first = op6_perplexity.Model.load(op6_perplexity.estimate(op6_perplexity.count_grams(d)))
+    texts, langs = column([t for _, _, t in rows]), ["en"] * len(rows)
+    bits = op6_perplexity.bits_per_word(first, *texts, langs)
+    limit = sorted(bits)[math.ceil(op6_perplexity.TRIM * len(bits)) - 1]
+    within = [r for r, b in zip(rows, bits) if b <= limit + 1e-6]
+    assert 0 < len(within) < len(rows) and all(i < 20 for i, _, _ in within)
+    second = op6_perplexity.Model.load(op6_perplexity.estimate(op6_perplexity.count_grams(spark.createDataFrame(within, d.schema))))
+    want = op6_perplexity.bits_per_word(second, *texts, langs)
+    assert all(math.isclose(got[i], b, rel_tol=1e-5) for (i, _, _), b in zip(rows, want))
+
+
 # ---- 7 decontamination ------------------------------------------------------------------------
 
 def edit_distance_infix(item, text):
