@@ -341,6 +341,40 @@ def test_jaccard_stage_keeps_one_of_each_group(spark):
     assert sorted((r["doc_id"], r["text"] or "") for r in out.collect()) == [(3, text), (4, rows[4][1]), (7, ""), (8, "")]
 
 
+def test_jaccard_groups_are_the_same_in_any_order_of_tokens(spark, monkeypatch):
+    """The tokens that a sample puts last change the work only."""
+    rng = random.Random(12)
+    base = [[rng.choice("abcdefghijklmnop") * 2 + str(rng.randint(0, 40)) for _ in range(60)] for _ in range(12)]
+    rows = []
+    for i in range(90):
+        w = list(base[i % 12])
+        for _ in range(rng.randint(0, 3)):
+            w[rng.randrange(60)] = "other" + str(rng.randint(0, 5))
+        rows.append((i, " ".join(["a shared line of many texts"] * (i % 2) + w)))
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    rule, found = op4_jaccard.Rule(), []
+    sets = op4_jaccard.shingle_sets(*column([t for _, t in rows]), rule.k)
+    tokens = np.unique(np.concatenate(sets))
+    for last in (op4_jaccard.frequent_tokens, lambda *_: tokens[:0], lambda *_: tokens[::3]):
+        monkeypatch.setattr(op4_jaccard, "frequent_tokens", last)
+        found.append({r["doc_id"]: r["component_id"] for r in op4_jaccard.jaccard_groups(d, rule).collect()})
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(sets)):
+        for j in range(i):
+            both = len(np.intersect1d(sets[i], sets[j]))
+            if rule.den * both >= rule.num * (len(sets[i]) + len(sets[j]) - both):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    want = {i: find(i) for i in range(len(rows))}
+    assert 12 <= len(set(want.values())) < len(rows) and found == [want] * 3
+
+
 # ---- 5 mixing ---------------------------------------------------------------------------------
 
 def test_targets_reshare_excess():
